@@ -269,7 +269,7 @@ def clean_text(text: str, hits: list[tuple[int, int]], limits: Limits = Limits()
 
     A span goes from its first word's first character to its last word's last.
     """
-    spans = [m.span() for m in WORD.finditer(text)]
+    spans = [m.span() for m in WORD.finditer(ascii_lower(text))]
     hits = [(s, e) for s, e in hits if e - s >= min(limits.span_words, len(spans))]
     if not hits:
         return text

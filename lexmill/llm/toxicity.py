@@ -135,13 +135,9 @@ def restore(piece: str, model: CharModel) -> str:
 def suspect(chunk: str) -> bool:
     """If a chunk without white space may be disguised: inner or adjacent look-alikes, inner separators or a run of one letter."""
     core = chunk.strip(".,;:?\"'()[]{}<>&%#*!-_")
-    if len(core) < 3:
-        return False
-    if RUN.search(core):
-        return True
-    return not core.isalpha() and sum(map(str.isalpha, core)) >= 2 and len(core) <= 40 and not core.isalnum() or any(
-        c.isdigit() for c in core
-    ) and sum(map(str.isalpha, core)) * 2 >= len(core) and len(core) <= 40
+    if not 3 <= len(core) <= 24 or core.isalpha():
+        return len(core) >= 3 and bool(RUN.search(core))
+    return 3 * sum(map(str.isalpha, core)) >= len(core)
 
 
 def features(words: list[str]) -> set[str]:
@@ -245,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
             for text in columns[0]:
                 found = reader.features(text)
                 # Copies have one sketch mostly, so a passage's words don't count for each of them.
-                sketch = min((zlib.crc32(f.encode()) for f in found if f[0] != "^"), default=0)
+                sketch = min((zlib.crc32(c.encode("utf-8", "surrogatepass")) for c in set(text.split())), default=0)
                 names += found
                 sketches += [sketch] * len(found)
             return names, sketches

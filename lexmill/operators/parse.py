@@ -50,13 +50,14 @@ def _object(text: str) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-@pandas_udf("string")
-def _salvaged(texts: pd.Series) -> pd.Series:
-    return texts.map(salvage)
+def extract_object(c: Column) -> Column:
+    """The text's object: by built-in functions where all of it is one, else by Python."""
 
+    @pandas_udf("string")
+    def salvaged(texts: pd.Series) -> pd.Series:
+        return texts.map(salvage)
 
-def extract_object(c: Column) -> Column:
-    return F.coalesce(whole_object(c), _salvaged(c))
+    return F.coalesce(whole_object(c), salvaged(c))
 
 
 def string_field(c: Column, name: str) -> Column:

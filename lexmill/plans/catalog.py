@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mean_of_rounded, ratio, reduce_runs, expand_repetition, lang_code, strong_protect, weak_protect
-from ..operators import candidates, cascade, evaluate, ngram, profile, replace, tokens
+from ..operators import candidates, cascade, evaluate, fewshot, ngram, profile, prompts, replace, tokens
 from . import sql
 
 QUERIES: dict = {}
@@ -491,18 +491,22 @@ def _words(name: str) -> str:
 
 @query("q40_candidates_lexicon", f"with {sql.TOK} select lang, raw, count(*) as c from tok where ((lang = 'en' and lower(raw) in {_words('en')} and (not {sql.strong()} or raw in ('2', '4'))) or (lang in ('de', 'es') and not {sql.strong()} and ((lang = 'de' and lower(raw) in {_words('de')}) or (lang = 'es' and lower(raw) in {_words('es')})))) group by all")
 def candidates_lexicon(spark, sf_dir):
-    forms = token_rows(spark, sf_dir).groupBy("lang", "raw").agg(F.count("*").alias("c"))
     listed = F.lit(False)
     for name in ("de", "en", "es"):
         r = candidates.RULES[name]
         listed = listed | ((F.col("lang") == name) & F.lower("raw").isin(r.words.split() + r.short.split()))
-    return forms.where(candidates.is_candidate() & listed)
+    return _candidates(spark, sf_dir).where(listed)
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    """Each distinct form is tested once: the test reads the count too, so that it isn't moved below the aggregation."""
+    forms = token_rows(spark, sf_dir).groupBy("lang", "raw").agg(F.count("*").alias("c")).withColumn("code", lang_code(F.col("lang")))
+    return forms.where(F.when(F.col("c") > 0, candidates.is_candidate(lang="code"))).drop("code")
 
 
 @query("q40b_candidates")
 def candidates_all(spark, sf_dir):
-    forms = token_rows(spark, sf_dir).groupBy("lang", "raw").agg(F.count("*").alias("c"))
-    return forms.where(candidates.is_candidate())
+    return _candidates(spark, sf_dir)
 
 
 @query("q41_reduce_and_expand")
@@ -512,6 +516,18 @@ def reduce_and_expand(spark, sf_dir):
     return worn.where("reduced <> raw or expanded is not null")
 
 
+def case_sentences(spark, sf_dir) -> DataFrame:
+    return corpus(spark, sf_dir).select("row_id", "raw")
+
+
+@query("q43_prompt_lengths")
+def prompt_lengths(spark, sf_dir):
+    """Length and digest of each hard case's prompt."""
+    cases = hard_cases(spark, sf_dir)
+    made = prompts.with_prompt(cases, case_sentences(spark, sf_dir), F.nullif("mfr_top5", F.lit("")))
+    return made.select("row_id", "tok_idx", F.length("prompt").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
 @query("q42_span_candidates", rf"with {sql.TOK} select lang, raw as first, next as second, count(*) as c from tok where next <> '<EOS>' and regexp_matches(lower(raw), '^(?:l|d|j|m|t|s|c|n|qu|un|dell|all|nell)[''’]?$') and regexp_matches(next, '^[A-Za-zÀ-ÿ]') group by all")
 def span_candidates(spark, sf_dir):
     rows = token_rows(spark, sf_dir).where("next <> '<EOS>'")
@@ -548,3 +564,22 @@ def resume(spark, sf_dir):
 def stale_corrections(spark, sf_dir):
     _, hard, log = correction_log(spark, sf_dir)
     return cascade.stale(hard, log).agg(F.count("*").alias("stale"), F.count_distinct("row_id").alias("sentences"))
+
+
+def _fewshot(positive: bool):
+    def run(spark, sf_dir):
+        """Examples for every question of the benchmark's words: sentences are the documents' lines."""
+        docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+        lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("k", "line")).where("trim(line) <> ''")
+        named = lines.select((F.col("doc_id") * 100_000 + F.col("k")).alias("doc_id"), "lang", F.col("line").alias("text"))
+        train = tokens.explode(tokens.derived_sentences(named).where("not val"))
+        items = table(spark, sf_dir, "benchmark").where("item_id is not null and text is not null")
+        words = items.select("item_id", "text", F.element_at(F.array_sort(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda a, b: F.length(b) - F.length(a)), 1).alias("form"))
+        targets = words.where("form is not null").select(F.col("item_id").alias("target_id"), F.lit("en").alias("lang"), "form", "text")
+        return fewshot.retrieve(targets, fewshot.pool(train, positive), named.select(F.col("doc_id").alias("row_id"), "text"))
+
+    return run
+
+
+query("q38_fewshot_positive")(_fewshot(True))
+query("q39_fewshot_negative")(_fewshot(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,6 +73,19 @@ def _clean() -> None:
             return
 
 
+#: Rows and bytes of an Arrow batch of texts: what a Python worker holds at a time.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that long texts don't fill a worker's memory; lower settings of the session stay."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_arrow(
     df: DataFrame,
     columns: list,
@@ -84,6 +98,7 @@ def map_arrow(
     so other columns of the input can have any names. ``start`` is called once
     a task and returns the function from lists in to lists out.
     """
+    bound_batches(df.sparkSession)
     narrow = df.select(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
     arrow = _arrow_schema(narrow.sparkSession, schema)
 

@@ -17,6 +17,8 @@ files or a written table).
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table, text_or_empty
+from ._common import bound_batches, table, text_or_empty
 
 EOS = 1
 
@@ -171,39 +173,79 @@ class WordTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     This vocabulary's pre-tokenizer drops white space and no token spans it, so
-    a text's ids are its white-space-separated chunks' ids in order; each chunk
-    is encoded once while it is remembered. The memory is bounded: beyond
-    ``most`` chunks it starts anew. Texts with separators that Python counts as
-    white space and the tokenizer doesn't are encoded whole.
+    a text's ids are its white-space-separated chunks' ids in order. Letters are
+    lower-cased and split from what follows them, so a chunk of plain letters
+    and then symbols is the letters' ids and the symbols'. Both kinds are
+    encoded once while they are remembered; beyond a bound the memory of a kind
+    starts anew. Texts with separators that Python counts as white space
+    and the tokenizer doesn't are encoded whole.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    #: Letters whose lower case is one letter for one, then symbols without an apostrophe.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most_chunks: int = 250_000, most_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.most_chunks, self.most_pieces = most_chunks, most_pieces
+        self.chunks: dict[str, bytes] = {}
+        self.pieces = {"": b""}
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in self.ODD):
             return ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         chunks = text.split()
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.chunks.__getitem__, chunks))
         except KeyError:
-            if len(self.known) > self.most:
-                self.known.clear()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[c] = ids_bytes(e.ids)
-            return b"".join(map(self.known.__getitem__, chunks))
+            self._learn(chunks)
+            return b"".join(map(self.chunks.__getitem__, chunks))
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.chunks) > self.most_chunks:
+            self.chunks.clear()
+        if len(self.pieces) > self.most_pieces:
+            self.pieces = {"": b""}
+        for c in set(chunks).difference(self.chunks):
+            m = self.PLAIN.fullmatch(c)
+            if m:
+                self.chunks[c] = self._piece(m[1].lower()) + self._piece(m[2])
+            else:
+                self.chunks[c] = ids_bytes(self.tokenizer.encode(c, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of letters, or of symbols: one word of the vocabulary's model, written in its byte letters."""
+        if piece not in self.pieces:
+            word = "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
+            self.pieces[piece] = ids_bytes([t.id for t in self.tokenizer.model.tokenize(word)])
+        return self.pieces[piece]
+
+
+def _byte_letters() -> list[str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
+
+
+BYTE_LETTERS = _byte_letters()
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """Made once a worker process: what it remembers serves later tasks too."""
+    if path not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 #: Rows of a task are packed in the order read; a batch of results has so many rows.
@@ -230,6 +272,7 @@ def pack_texts(
     """
     schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
     schema += ", ids array<int>" if with_ids else ""
+    bound_batches(df.sparkSession)
     prompt = F.coalesce(F.col(prompt_tokens_col), F.lit(0)).cast("int") if prompt_tokens_col else F.lit(0)
     narrow = df.select(F.col(id_col).cast("bigint").alias("i"), text_or_empty(text_col).alias("t"), prompt.alias("p"))
 
@@ -252,7 +295,7 @@ def pack_texts(
                 sequence += 1
 
         for batch in batches:
-            encode = encode or WordTokenizer(tokenizer_path)
+            encode = encode or tokenizer(tokenizer_path)
             for key, text, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = encode(text) + eos
                 emit(packer.add((key, data), len(data) // 4, start))

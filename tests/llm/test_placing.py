@@ -76,9 +76,9 @@ def test_word_tokenizer_is_exact():
 
     whole = Tokenizer.from_file(packing.vocabulary())
     whole.encode_special_tokens = True
-    mine = packing.WordTokenizer(packing.vocabulary(), most=50)
+    mine = packing.WordTokenizer(packing.vocabulary(), most_chunks=50, most_pieces=30)
     rng = random.Random(6)
-    bits = ["Hello", "wörld", "it's", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "é", "١٢", "42", "!!", "<|endoftext|>", "日本", "😀", "Σς", "́", "​", "''s", "İ"]
+    bits = ["Hello", "wörld", "it's", " ", "  ", "\n", "\t", " ", " ", "\x1c", "\x85", "é", "é", "١٢", "42", "!!", "<|endoftext|>", "日本", "😀", "Σς", "́", "​", "''s", "İ", "Word", ",", "ÉTÉ", "!!", "###", "-", "_", "ªº", "ÿÿ", "´"]
     for _ in range(2000):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
         assert mine(text) == packing.ids_bytes(whole.encode(text, add_special_tokens=False).ids), repr(text)

@@ -91,21 +91,23 @@ def scan(
     known = F.broadcast(spark.createDataFrame(pairs, "pair string, license string, n_template int, low double, high double"))
     low, high = min(p[3] for p in pairs), max(p[4] for p in pairs)
 
-    words = "filter(split({}, '[^a-z0-9]+'), w -> w <> '')"
+    # Each line is split into words once; all of a text of several lines is their concatenation.
     docs = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("low"), F.col(text_col).alias("text")
+        F.col(id_col).alias("doc_id"),
+        F.transform(F.split(F.lower(text_col), "\n", -1), lambda x: F.array_remove(F.split(x, "[^a-z0-9]+"), "")).alias("lines"),
     )
-    # The size bounds on words: a set of n pairs needs n + 1 words, and a unit this large at most repeats pairs.
-    units = docs.select("doc_id", F.posexplode(F.split("low", "\n", -1)).alias("unit", "line"), (F.size(F.split("low", "\n", 2)) > 1).alias("many"), "low")
-    lines = units.select("doc_id", "unit", "line")
-    whole = docs.where(F.size(F.split("low", "\n", 2)) > 1).select("doc_id", F.lit(WHOLE).alias("unit"), F.col("low").alias("line"))
-    # A unit's set of n pairs has 2n characters or more with its separators: a bound that needs no split.
-    rows = lines.unionByName(whole).where(F.length("line") >= 2 * low)
-    sized = rows.select("doc_id", "unit", F.expr(words.format("line")).alias("words")).where(F.size("words") > low)
+    unit = lambda k, w: F.struct(k.cast("int").alias("unit"), w.alias("words"))
+    lines = F.transform("lines", lambda w, k: unit(k, w))
+    whole = F.when(F.size("lines") > 1, F.array(unit(F.lit(WHOLE), F.flatten("lines")))).otherwise(F.expr("cast(array() as array<struct<unit:int,words:array<string>>>)"))
+    # A set of n pairs has n + 1 words at least, and n + 1 different ones at most.
+    fits = lambda u: (F.size(u.words) > low) & (F.size(F.array_distinct(u.words)) <= high + 1)
+    sized = docs.select("doc_id", F.explode(F.filter(F.concat(whole, lines), fits)).alias("u"))
     paired = sized.select(
         "doc_id",
-        "unit",
-        F.expr("array_distinct(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> concat(a, ' ', b)))").alias("pairs"),
+        "u.unit",
+        F.expr(
+            "array_distinct(zip_with(slice(u.words, 1, greatest(size(u.words) - 1, 0)), slice(u.words, 2, greatest(size(u.words) - 1, 0)), (a, b) -> concat(a, ' ', b)))"
+        ).alias("pairs"),
     )
     bounded = paired.where(F.size("pairs").between(low, high))
     found = bounded.select("doc_id", "unit", F.size("pairs").alias("n_unit"), F.explode("pairs").alias("pair")).join(known, "pair")

@@ -74,7 +74,7 @@ def _clean() -> None:
 
 
 #: Rows and bytes of an Arrow batch of texts: what a Python worker holds at a time.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

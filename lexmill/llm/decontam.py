@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import ascii_lower, map_arrow, table, text_or_empty
+from ._common import ascii_lower, bound_batches, map_arrow, table, text_or_empty
 
 WINDOW = 8
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -288,6 +288,7 @@ def remove(df: DataFrame, items: DataFrame, text_col: str = "text", limits: Limi
     Rows with null texts stay; other columns stay as they are.
     """
     spark, out = df.sparkSession, df
+    bound_batches(spark)
     for block in item_blocks(items, "item_id", "text"):
         was = "_" * (1 + max(map(len, out.columns))) + "was"
         cleaned = _cleaner(spark.sparkContext.broadcast(block), window, limits)
@@ -302,7 +303,8 @@ def _cleaner(block, window: int, limits: Limits):
         automaton = _automaton(block, window)
         return texts.map(lambda t: t if t is None else clean_text(t, automaton.read(words_of(t))[0], limits))
 
-    return cleaned
+    # Evaluated once a row: the filter on its result isn't moved into a second evaluation.
+    return cleaned.asNondeterministic()
 
 
 def query(spark, sf_dir):

@@ -32,7 +32,7 @@ SKETCH = 64
 SLACK = 4.5
 #: Ids that may be broadcast to pick the texts to confirm (16 MB); beyond, a shuffle picks them.
 BROADCAST_IDS = 2_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 _RANDOM = np.random.RandomState(20_240_229)
 _MULTIPLY = _RANDOM.randint(0, 2**63, TREES * DEPTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.randint(0, 2**63, TREES * DEPTH).astype(np.uint64)

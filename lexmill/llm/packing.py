@@ -185,7 +185,7 @@ class WordTokenizer:
     #: Letters whose lower case is one letter for one, then symbols without an apostrophe.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most_chunks: int = 250_000, most_pieces: int = 500_000):
+    def __init__(self, path: str, most_chunks: int = 160_000, most_pieces: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

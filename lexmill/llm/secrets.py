@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import map_arrow, table, text_or_empty
+from ._common import bound_batches, map_arrow, table, text_or_empty
 
 ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -135,6 +135,7 @@ def redact(df: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFra
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else mask_text(t, scan_text(t, reach)[1]))
 
+    bound_batches(df.sparkSession)
     return df.withColumn(text_col, masked(F.col(text_col)))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import cut, discard, map_arrow, table, text_or_empty
+from ._common import bound_batches, cut, discard, map_arrow, table, text_or_empty
 
 #: Labelled rows used to fit the classifier: those with the smallest hashes of their ids, this many at most.
 TRAINING_ROWS = 24_000
@@ -43,7 +43,7 @@ COST = {"lookalike": 0.7, "separator": 0.2, "symbol": 4.0, "once": 0.3, "twice":
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 RUN = re.compile(r"([^\W\d_])\1\1+")
-MEMORY = 300_000
+MEMORY = 100_000
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,6 +67,7 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
+    bound_batches(df.sparkSession)
     counted = df.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "gram int, n bigint")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -141,12 +142,12 @@ def suspect(chunk: str) -> bool:
 
 
 def features(words: list[str]) -> set[str]:
-    """A word, and its beginnings of 4 to 6 letters."""
+    """A word, and its beginnings of 4 to 8 letters."""
     out = set()
     for w in words:
         if len(w) >= 3:
             out.add(w)
-            out.update("^" + w[:n] for n in (4, 5, 6) if len(w) >= n)
+            out.update("^" + w[:n] for n in range(4, 9) if len(w) >= n)
     return out
 
 
@@ -170,7 +171,7 @@ class Reader:
         out = features(self.spaced(low))
         for chunk in set(low.split()):
             if (f := self.known.get(chunk)) is None:
-                if len(self.known) > MEMORY // 4:
+                if len(self.known) > MEMORY // 8:
                     self.known.clear()
                 f = self.known[chunk] = features(self.words(chunk))
             out |= f
@@ -295,6 +296,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text", at: f
     def scored(texts: pd.Series) -> pd.Series:
         return texts.map(_scorer(shared)).astype("float64")
 
+    bound_batches(docs.sparkSession)
     return docs.where(scored(text_or_empty(text_col)) < at)
 
 

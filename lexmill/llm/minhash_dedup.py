@@ -12,6 +12,11 @@ Equal sets are one node. A candidate's sketch, a byte of each of some hashes,
 leaves out what is far from similar enough; the rest are confirmed on full sets
 from whole texts: first each node's most similar candidate, which joins most of
 every group, then the candidates that still lie between two groups.
+
+A run of more rows than a window that share ``LEAST`` hashes isn't left at its
+windows: where it still holds several groups, all of its pairs between groups
+are compared on full sets, in blocks of bounded size against blocks. Only links
+that join two groups are written, so a run costs time but no pairs.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard, map_arrow, table, text_or_empty
+from ._common import bound_batches, cut, discard, map_arrow, table, text_or_empty
 from ._components import components
 from ._sorted import neighbour_pairs
 
@@ -33,6 +39,10 @@ SLACK = 4.5
 #: Ids that may be broadcast to pick the texts to confirm (16 MB); beyond, a shuffle picks them.
 BROADCAST_IDS = 2_000_000
 WORDS_KEPT = 100_000
+#: Documents, and their shingles, of a block of the full comparison in a long run.
+BLOCK, BLOCK_SHINGLES = 1_024, 500_000
+#: Columns of a dense part of the incidence matrix, and the pairs a multiplied cell of it is worth.
+COLUMNS, PAIR_COST = 4_096, 300_000
 _RANDOM = np.random.RandomState(20_240_229)
 _MULTIPLY = _RANDOM.randint(0, 2**63, TREES * DEPTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.randint(0, 2**63, TREES * DEPTH).astype(np.uint64)
@@ -111,9 +121,13 @@ def signatures(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str
     return map_arrow(df, columns, "doc_id bigint, n_shingles bigint, set_hash binary, sig binary, sketch binary", start)
 
 
+def _least_score(threshold: float) -> float:
+    return threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
+
+
 def compare_with(threshold: float):
     """The forest's comparison of sorted rows; see the module's text."""
-    least_score = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    least_score = _least_score(threshold)
 
     def compare(keys: np.ndarray, sketches: np.ndarray, group: np.ndarray):
         n, width = len(keys), keys.shape[1] // 4
@@ -178,6 +192,152 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return links
 
 
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shared elements of each set of ``left`` with each of ``right``."""
+    every = [*left, *right]
+    _, column, count = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    often = count > 1
+    keep = often[column]
+    row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        x = np.zeros((len(every), COLUMNS), np.float32)
+        x[row[lo:hi], column[lo:hi] - at] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def joins(left: list, right: list | None, percent: int) -> list[tuple[int, int]]:
+    """Links between different groups of ``left`` and ``right`` (or of ``left`` alone) that unite them, a spanning forest.
+
+    A row is ``id, component, sketch, set``; every pair that its sketches don't rule out is decided on its sets.
+    """
+    other = left if right is None else right
+    sides = [left, other]
+    comps = [np.array([r[1] for r in side], np.int64) for side in sides]
+    sizes = [np.array([len(r[3]) for r in side], np.int64) for side in sides]
+    marks = [np.frombuffer(b"".join(r[2] for r in side), np.uint8).reshape(len(side), SKETCH) for side in sides]
+    least = _least_score(percent / 100)
+    maybe = []
+    for at in range(0, len(left), 32):
+        part = slice(at, at + 32)
+        ok = (marks[0][part, None] == marks[1][None]).mean(2) >= least
+        ok &= comps[0][part, None] != comps[1][None]
+        ok &= 100 * np.minimum(sizes[0][part, None], sizes[1]) >= percent * np.maximum(sizes[0][part, None], sizes[1])
+        if right is None:
+            ok &= np.arange(at, at + len(ok))[:, None] < np.arange(len(other))
+        i, j = np.nonzero(ok)
+        maybe.append(np.stack([i + at, j]))
+    i, j = np.concatenate(maybe, axis=1)
+    if not len(i):
+        return []
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    rows, columns = np.unique(i), np.unique(j)
+    sets = [left[k][3] for k in rows], [other[k][3] for k in columns]
+    if len(rows) * len(columns) * (sum(map(len, sets[0])) + sum(map(len, sets[1]))) < PAIR_COST * len(i):
+        shared = common(*sets)[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+        near = 100 * shared >= percent * (sizes[0][i] + sizes[1][j] - shared)
+        i, j, known = i[near], j[near], True
+    else:
+        known = False
+    out = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = top(left[x][1]), top(other[y][1])
+        if a == b:
+            continue
+        if not known:
+            n = len(np.intersect1d(left[x][3], other[y][3], assume_unique=True))
+            if 100 * n < percent * (len(left[x][3]) + len(other[y][3]) - n):
+                continue
+        up[a] = b
+        out.append((left[x][0], other[y][0]))
+    return out
+
+
+def run_links(nodes: DataFrame, linked: DataFrame, docs: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` that unite groups within runs longer than a window, written to the shared folder.
+
+    ``nodes`` is ``doc_id, n_shingles, sig, sketch``, ``linked`` the groups so
+    far. A group of more than a block in a run has blocks of its own, which
+    aren't compared with one another; the rest of the run shares blocks.
+    """
+    spark = nodes.sparkSession
+    bound_batches(spark)
+    tree = nodes.join(linked.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select(
+        F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig", F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("comp"), "n_shingles"
+    )
+    member = tree.select(F.expr(f"xxhash64(tree, substring(sig, tree * {4 * DEPTH} + 1, {4 * LEAST}))").alias("run"), "id", "comp", "n_shingles")
+    need = F.greatest(F.count("*") / F.lit(block), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))
+    parts = member.groupBy("run", "comp").agg(F.count("*").alias("m"), need.alias("need"))
+    runs = (
+        parts.groupBy("run")
+        .agg(F.sum("m").alias("n"), F.count("*").alias("comps"), F.ceil(F.sum(F.when(F.col("need") <= 1, F.col("need")))).alias("pool"))
+        .where(f"n > {WINDOW + 1} and comps > 1")
+        .select("run", F.coalesce("pool", F.lit(1)).alias("pool"))
+    )
+    split = cut(parts.join(runs, "run").select("run", "comp", "need", "pool"))
+    own = F.col("need") > 1
+    k = F.when(own, F.pmod(F.xxhash64("id"), F.ceil("need"))).otherwise(F.pmod(F.xxhash64("comp"), F.col("pool")))
+    placed = cut(
+        member.join(split, ["run", "comp"]).select(
+            "run", "id", "comp", F.when(own, F.col("comp")).alias("owner"), F.concat_ws(":", F.when(own, F.col("comp").cast("string")).otherwise("-"), k.cast("string")).alias("block")
+        )
+    )
+    blocks = cut(placed.groupBy("run", "block").agg(F.first("owner").alias("owner")))
+    x, y = (blocks.select("run", F.col("block").alias(c), F.col("owner").alias(f"o{c}")) for c in "xy")
+    pairs = x.join(y, "run").where("x <= y and not coalesce(ox = oy, false)").select("run", "x", "y")
+    tasks = pairs.select("run", "x", "y", F.col("x").alias("block")).union(pairs.where("x <> y").select("run", "x", "y", F.col("y").alias("block")))
+
+    def start():
+        shingle = Shingler(words)
+        return lambda columns: [columns[0], [shingle(t).tobytes() for t in columns[1]]]
+
+    wanted = cut(placed.select(F.col("id").alias("doc_id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = cut(map_arrow(texts, [F.col("doc_id"), F.col("text")], "id bigint, shingles binary", start).dropDuplicates(["id"]))
+    full = sets.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    spread = (
+        placed.select("run", "block", "id", "comp").join(tasks, ["run", "block"]).join(full, "id")
+        .select("run", "x", "y", "block", "id", "comp", "sketch", "shingles")
+        .repartition("run", "x", "y")
+        .sortWithinPartitions("run", "x", "y")
+    )
+
+    def compare(batches):
+        now, left, right = None, [], []
+
+        def done():
+            links = joins(left, None if now[1] == now[2] else right, percent) if left and (right or now[1] == now[2]) else []
+            a, b = ([min(p) for p in links], [max(p) for p in links])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for run, p, q, mine, key, comp, sketch, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (run, p, q) != now:
+                    if now:
+                        yield done()
+                    now, left, right = (run, p, q), [], []
+                (left if mine == p else right).append((key, comp, sketch, np.frombuffer(s, np.uint64)))
+        if now:
+            yield done()
+
+    links = cut(spread.mapInArrow(compare, "a bigint, b bigint").distinct())
+    for done in (split, placed, blocks, wanted, sets):
+        discard(done)
+    return links
+
+
 def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of documents linked by ``percent`` or more similarity.
 
@@ -209,7 +369,10 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
         .where("coalesce(ca, a) <> coalesce(cb, b)")
     )
     second = confirm(cut(rest.select("a", "b")), docs, words, percent)
-    linked = components(first.union(second)) if second.head(1) else joined
+    linked = cut(components(first.union(second))) if second.head(1) else joined
+    third = run_links(nodes.select("doc_id", "n_shingles", "sig", "sketch"), linked, docs, words, percent)
+    if third.head(1):
+        linked = components(first.union(second).union(third))
     member = heads.join(linked.select(F.col("id").alias("head"), "component"), "head", "left").select(
         "set_hash", F.coalesce("component", "head").alias("component")
     )

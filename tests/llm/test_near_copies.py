@@ -78,6 +78,33 @@ def test_documents_against_brute_force(spark, words, percent):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(want.values()))
 
 
+def test_star_of_many_distinct_copies(spark):
+    rng = random.Random(12)
+    centre = [f"c{k}" for k in range(302)]
+    texts = []
+    for n in range(1_200):
+        copy = list(centre)
+        for k in range(7):
+            copy[43 * k + rng.randrange(3, 40)] = f"x{n}-{k}"
+        texts.append(" ".join(copy))
+    texts.insert(700, " ".join(centre))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = minhash_dedup.classes(df, 3, 85).collect()
+    assert len(got) == 1_201 and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
+def test_joins_of_blocks_against_brute_force():
+    rng = np.random.RandomState(13)
+    base = np.arange(200, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rng.choice(base, 200 - e, False), 1000 * (k + 1) + base[:e]])) for k, e in enumerate(rng.randint(0, 40, 90))]
+    rows = [(k, k, minhash_dedup.signature(s)[: minhash_dedup.SKETCH].astype(np.uint8).tobytes(), s) for k, s in enumerate(sets)]
+    near = [(a, b) for a, b in itertools.combinations(range(90), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert (minhash_dedup.common(sets[:40], sets[40:]) == [[len(np.intersect1d(a, b)) for b in sets[40:]] for a in sets[:40]]).all()
+    assert joined(range(90), minhash_dedup.joins(rows, None, 80)) == joined(range(90), near)
+    across = [(a, b) for a, b in near if a < 40 <= b]
+    assert joined(range(90), minhash_dedup.joins(rows[:40], rows[40:], 80)) == joined(range(90), across)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert minhash_dedup.classes(df).count() == 0 and minhash_dedup.keep_heads(df).count() == 0

@@ -64,7 +64,8 @@ def link_parts(text: str, base: list[tuple[int, int, int]], reach: int = REACH)
     starts, end_starts = [v[0] for v in values], [e[0] for e in ends]
     strong = {(s, e) for s, kind, e in base}
     found = set()
-    value_at = end_at = 0  # parts before these are in an earlier scope already
+    end_at = 0  # endpoints before this are in an earlier scope already
+    waiting, value_at = [], 0  # values begun in an earlier scope that ended past it; values before this were seen
     for s, e in ids:
         k = bisect_right(blanks, s)
         low = max(s - reach, blanks[k - 1] if k else 0)
@@ -73,10 +74,16 @@ def link_parts(text: str, base: list[tuple[int, int, int]], reach: int = REACH)
         if first == last:
             continue
         found.add((s, 3, e))
-        for v in values[max(first, value_at) : last]:
-            if v[1] <= high and v not in strong:
+        # A value that starts in a scope and ends past it waits for a later one that holds it whole.
+        straddling = []
+        for v in [*waiting, *values[max(first, value_at) : last]]:
+            if v[0] < low:
+                continue
+            if v[1] > high:
+                straddling.append(v)
+            elif v not in strong:
                 found.add((v[0], 4, v[1]))
-        value_at = max(value_at, last)
+        waiting, value_at = straddling, max(value_at, last)
         to = bisect_right(end_starts, high)
         found.update((x, 5, y) for x, y in ends[max(bisect_left(end_starts, low), end_at) : to])
         end_at = max(end_at, to)

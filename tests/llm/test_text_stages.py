@@ -80,6 +80,35 @@ def test_many_parts_cost_no_square():
     assert len(secrets.scan_text(text)[1]) > 20_000
 
 
+def brute_links(text, reach=secrets.REACH):
+    base = sorted(secrets.base_spans(text))
+    ids = [m.span() for m in secrets.IDENTIFIER.finditer(text)]
+    values = {m.span() for m in secrets.VALUE.finditer(text)} | {(s, e) for s, kind, e in base if kind != 1}
+    values = [v for v in values if not any(v[0] < e and s < v[1] for s, e in ids)]
+    blanks = [m.start() for m in secrets.BLANK.finditer(text)]
+    found = set()
+    for s, e in ids:
+        low = max([s - reach, *[b for b in blanks if b <= s]])
+        high = min([e + reach, len(text), *[b for b in blanks if b > s]])
+        if any(low <= v[0] <= high for v in values):
+            found |= {(s, 3, e)} | {(v[0], 4, v[1]) for v in values if low <= v[0] and v[1] <= high and v not in {(x, y) for x, _, y in base}}
+            found |= {(m.start(), 5, m.end()) for m in secrets.ENDPOINT.finditer(text) if low <= m.start() <= high}
+    return found
+
+
+def test_secrets_of_a_dump_against_brute_force():
+    rng = random.Random(15)
+    for pad in range(60):
+        lines = []
+        for k in range(12):
+            value = "aB3" + "".join(rng.choices("abcdefgXYZ0123456789", k=37))
+            lines.append(f"AKIA{rng.randrange(10**16):016d},{value},us-east-1{'x' * pad}" + ("\n" if rng.random() < 0.05 else ""))
+        text = "\n".join(lines)
+        got = secrets.link_parts(text, sorted(secrets.base_spans(text)))
+        assert set(got) == brute_links(text), text
+        assert sum(kind == 4 for _, kind, _ in got) == 12
+
+
 def test_secret_frame(spark):
     df = docs(spark, [(1, "token=abcdef1"), (1, "token=abcdef1"), (2, None), (None, "")])
     got = {(r.doc_id, r.n_assign, r.spans) for r in secrets.scan(df).collect()}

@@ -41,9 +41,16 @@ SEPARATORS = frozenset("._-*~'`^/\\ \t")
 #: Costs of the channel in nats: a look-alike, a dropped separator, a dropped symbol, a letter of a run kept once or twice.
 COST = {"lookalike": 0.7, "separator": 0.2, "symbol": 4.0, "once": 0.3, "twice": 0.6, "foreign": 9.0}
 WORD = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
+#: Three or more characters that stand alone, white space of any kind and length between them.
+SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
+#: What is taken off a chunk's ends: symbols that stand for no letter.
+PLAIN_EDGE = ".,;:?\"'[]{}<>&%#-_~`^)"
+#: The same with symbols that may stand for one.
+ANY_EDGE = PLAIN_EDGE + "".join(c for c in LOOKALIKES if not c.isalnum())
 RUN = re.compile(r"([^\W\d_])\1\1+")
 MEMORY = 100_000
+#: Longer chunks are read anew each time.
+REMEMBERED = 64
 
 
 def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -85,9 +92,16 @@ class CharModel:
         p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
         p3 = (n + 20 * p2[None]) / (n.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(p3)).astype(np.float32)
+        self._flat: list[float] | None = None
 
-    def step(self, a: int, b: int, c: int) -> float:
-        return float(self.cost[a, b, c])
+    def costs(self) -> list[float]:
+        """Cost of letter c after a and b at ``(a * CLASSES + b) * CLASSES + c``; made once a process."""
+        if self._flat is None:
+            self._flat = self.cost.ravel().tolist()
+        return self._flat
+
+    def __getstate__(self):
+        return {"cost": self.cost, "_flat": None}
 
 
 def kind(c: str) -> int:
@@ -102,7 +116,19 @@ def lattice(piece: str) -> list[list[tuple[str, float]]]:
         while j < len(piece) and piece[j] == c:
             j += 1
         if c.isalpha():
-            out.append([(c * (j - i), 0.0)] if j - i < 3 else [(c, COST["once"]), (c * 2, COST["twice"])])
+            n, end = j - i, j  # a run goes on through separators
+            while True:
+                k = end
+                while k < len(piece) and piece[k] in SEPARATORS:
+                    k += 1
+                if k == end or k == len(piece) or piece[k] != c:
+                    break
+                while k < len(piece) and piece[k] == c:
+                    k, n = k + 1, n + 1
+                end = k
+            if n >= 3:
+                j = end
+            out.append([(c * (j - i), 0.0)] if n < 3 else [(c, COST["once"]), (c * 2, COST["twice"])])
         else:
             may = [(x, COST["lookalike"] + (1.0 if c == "*" else 0.0)) for x in LOOKALIKES.get(c, "")]
             if c in SEPARATORS:
@@ -115,30 +141,74 @@ def lattice(piece: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+#: Steps after which the readings' common beginning is settled, so a long piece keeps no more than it must.
+SETTLE = 256
+
+
 def restore(piece: str, model: CharModel) -> str:
-    """The likeliest reading of a piece. States hold the last two letters; ties go to the reading that sorts first."""
-    best = {(EDGE, EDGE): (0.0, "")}
+    """The likeliest reading of a piece, whatever its length.
+
+    States hold the last two letters; of equal readings the one from the
+    smallest state, then symbol, is taken. Time is in proportion to the length.
+    What all surviving readings share is settled on the way.
+    """
+    best, price = {(EDGE, EDGE): 0.0}, model.costs()
+    back: list[dict] = []
+    settled: list[str] = []
+
+    def trace(state, steps: list[dict]) -> str:
+        out = []
+        for step in reversed(steps):
+            state, x = step[state]
+            out.append(x)
+        return "".join(reversed(out))
+
     for may in [*lattice(piece), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        new: dict[tuple[int, int], float] = {}
+        step: dict[tuple[int, int], tuple] = {}
+        for state, cost in best.items():
             for x, extra in may:
-                p, q, total = a, b, cost + extra
+                (p, q), total = state, cost + extra
                 for c in x:
                     k = kind(c)
-                    total += model.step(p, q, k)
+                    total += price[(p * CLASSES + q) * CLASSES + k]
                     p, q = q, k
-                if (p, q) not in new or (total, text + x) < new[p, q]:
-                    new[p, q] = (total, text + x)
+                if (p, q) not in new or (total, state, x) < (new[p, q], *step[p, q]):
+                    new[p, q], step[p, q] = total, (state, x)
         best = new
-    return min(best.values())[1].strip()
+        back.append(step)
+        if len(back) >= SETTLE and len(back) % SETTLE == 0:
+            alive, k = set(best), len(back)
+            while len(alive) > 1:
+                k -= 1
+                alive = {back[k][s][0] for s in alive}
+            settled.append(trace(alive.pop(), back[:k]))
+            back = back[k:]
+    return ("".join(settled) + trace(min(best, key=lambda s: (best[s], s)), back)).strip()
+
+
+def disguised(core: str) -> bool:
+    """If a core without white space may be disguised: a letter together with any other character, or a run of one letter."""
+    if len(core) < 3:
+        return False
+    return bool(RUN.search(core)) if core.isalpha() else any(map(str.isalpha, core))
 
 
-def suspect(chunk: str) -> bool:
-    """If a chunk without white space may be disguised: inner or adjacent look-alikes, inner separators or a run of one letter."""
-    core = chunk.strip(".,;:?\"'()[]{}<>&%#*!-_")
-    if not 3 <= len(core) <= 24 or core.isalpha():
-        return len(core) >= 3 and bool(RUN.search(core))
-    return 3 * sum(map(str.isalpha, core)) >= len(core)
+def pieces(chunk: str) -> list[str]:
+    """The parts of a chunk without white space that are decoded, of any length.
+
+    All of it with the look-alikes at its ends and without them, and what each
+    kind of separator in it parts.
+    """
+    core = chunk.strip(PLAIN_EDGE)
+    if not disguised(core):
+        return []
+    found = {core: None}
+    if disguised(inner := core.strip(ANY_EDGE)):
+        found[inner] = None
+    for c in sorted(SEPARATORS.intersection(core)):
+        found.update((part, None) for x in core.split(c) if disguised(part := x.strip(PLAIN_EDGE)))
+    return list(found)
 
 
 def features(words: list[str]) -> set[str]:
@@ -159,12 +229,12 @@ class Reader:
 
     def words(self, chunk: str) -> list[str]:
         found = WORD.findall(chunk)
-        if suspect(chunk):
-            found = found + WORD.findall(restore(chunk.strip(".,;:?\"'()[]{}<>&%#"), self.model))
+        for piece in pieces(chunk):
+            found += WORD.findall(restore(piece, self.model))
         return found
 
     def spaced(self, low: str) -> list[str]:
-        return [w for m in SPACED.finditer(low) for w in WORD.findall(restore(m[0], self.model))]
+        return [w for m in SPACED.finditer(low) for w in WORD.findall(restore(" ".join(m[0].split()), self.model))]
 
     def features(self, text: str) -> set[str]:
         low = text.lower()
@@ -173,7 +243,9 @@ class Reader:
             if (f := self.known.get(chunk)) is None:
                 if len(self.known) > MEMORY // 8:
                     self.known.clear()
-                f = self.known[chunk] = features(self.words(chunk))
+                f = features(self.words(chunk))
+                if len(chunk) <= REMEMBERED:
+                    self.known[chunk] = f
             out |= f
         return out
 
@@ -194,17 +266,18 @@ class Model:
 
         def score(text: str) -> float:
             low = text.lower()
-            total = sum(rest([w]) for w in reader.spaced(low))
+            total = math.fsum(rest([w]) for w in reader.spaced(low))
             chunks = set(low.split())
             try:
                 total += math.fsum(map(known.__getitem__, chunks))
             except KeyError:
                 if len(known) > MEMORY:
                     known.clear()
+                long = {}
                 for c in chunks:
                     if c not in known:
-                        known[c] = rest(reader.words(c))
-                total += math.fsum(map(known.__getitem__, chunks))
+                        (known if len(c) <= REMEMBERED else long)[c] = rest(reader.words(c))
+                total += math.fsum(long[c] if c in long else known[c] for c in chunks)
             return 1.0 - math.exp(total) if total else 0.0
 
         return score
@@ -217,8 +290,8 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit the character model on all texts and the classifier on at most ``rows`` labelled ones.
 
-    Labels of held-out ids, null ids and null labels aren't read. Without any
-    label 1 every score is 0.
+    Labels of held-out ids, null ids and null labels aren't read. Of texts with
+    one id the first in order is fitted. Without any label 1 every score is 0.
     """
     spark = docs.sparkSession
     chars = CharModel([(r.gram, r.n) for r in trigram_counts(docs, text_col).collect()])
@@ -226,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, id_col: s
     one = named.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     chosen = one.orderBy(F.xxhash64("i"), "i").limit(rows)
     texts = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"))
-    sample = cut(texts.join(F.broadcast(chosen), "i").dropDuplicates(["i"]))
+    sample = cut(texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t")))
     n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = sum(v for k, v in n.items() if k == 1), sum(v for k, v in n.items() if k != 1)
     if not ones:

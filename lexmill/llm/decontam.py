@@ -11,36 +11,45 @@ Only words in runs of known word pairs can start or continue a match of two
 words or more, so a vectorised test of pairs picks the runs and the automaton
 reads those alone; it reads them whole, so nothing is lost.
 
-The items are the small side. They are cut into blocks of bounded size, each
-with an automaton of its own, and documents stream through the blocks one after
-the other; a block is what is broadcast.
+The items are the small side. They are cut into blocks of bounded size (a long
+item into pieces that overlap by a window less a word), each with an automaton
+of its own; a block, as bytes, is what is broadcast. A task reads its texts once,
+in bounded lots, and each lot against all blocks in turn with one automaton in
+memory; hits of all blocks on the original text are merged before anything is
+decided, so results don't depend on how items fall into blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._common import ascii_lower, bound_batches, map_arrow, table, text_or_empty
+from ._common import ascii_lower, bound_batches, table, text_or_empty
 
 WINDOW = 8
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Words of a block of items at most (an item of more is a block alone): about 60 MB of automaton.
+#: Words of a block of items at most: about 60 MB of automaton.
 BLOCK_WORDS = 300_000
+#: Characters of texts that a task holds while it reads them against several blocks.
+LOT_CHARS = 16 << 20
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What leaves a document: spans of ``span_words`` hit words or more, or all of it from ``coverage`` on."""
+    """What leaves a document: spans of ``span_words`` hit words or more, or all of it from ``coverage`` on.
+
+    Coverage counts every hit word, also those of items shorter than a span.
+    """
 
     span_words: int = 8
     coverage: float = 0.5
@@ -184,19 +193,23 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(ascii_lower(text))
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of at most ``most`` words, one block in memory at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, most: int = BLOCK_WORDS) -> Iterator[bytes]:
+    """The items in blocks of at most ``most`` words, one block in memory at a time, as JSON ``[[id, [word, ...]], ...]``."""
+    most = max(most, 2 * window)
     block, n = [], 0
     rows = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     for row in rows.toLocalIterator():
         words = words_of(row.t)
-        if block and n + len(words) > most:
-            yield block
-            block, n = [], 0
-        block.append((row.i, words))
-        n += len(words)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            piece = words[at : at + most]
+            if block and n + len(piece) > most:
+                yield json.dumps(block).encode()
+                block, n = [], 0
+            if piece:
+                block.append((row.i, piece))
+                n += len(piece)
     if block:
-        yield block
+        yield json.dumps(block).encode()
 
 
 def find(
@@ -218,49 +231,64 @@ def find(
     table gives no rows. No shuffle.
     """
     spark = df.sparkSession
-    out = df.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        text_or_empty(text_col).alias("text"),
-        F.lit(None).cast("bigint").alias("n_words"),
-        F.expr("cast(array() as array<int>)").alias("hits"),
-        F.expr("cast(array() as array<bigint>)").alias("items"),
-    )
+    bound_batches(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id_col, item_text_col, window, block_words)]
+    narrow = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = "doc_id bigint, text string, n_words bigint, hits array<int>, items array<bigint>"
-    blocks = item_blocks(items, item_id_col, item_text_col, block_words)
-    for block in itertools.chain([next(blocks, [])], blocks):
-        out = map_arrow(out, [F.col(c) for c in out.columns], schema, _reader(spark.sparkContext.broadcast(block), window))
-    return out
-
-
-def _reader(block, window: int):
-    def start():
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches, lambda b: b.nbytes, len(blocks)):
+            found = read_all([b.column(1).to_pylist() for b in lot], blocks, window)
+            for batch, rows in zip(lot, found, strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), batch.column(1), pa.array([n for n, _, _ in rows], pa.int64()),
+                        pa.array([[x for span in hits for x in span] for _, hits, _ in rows], ints), pa.array([sorted(keys) for _, _, keys in rows], longs),
+                    ],
+                    names=["doc_id", "text", "n_words", "hits", "items"],
+                )
+
+    return narrow.mapInArrow(run, schema)
+
+
+def _lots(batches: Iterator, size, blocks: int) -> Iterator[list]:
+    """Batches one by one; with several blocks, together up to a bound, so that an automaton is made once a lot."""
+    lot, held = [], 0
+    for b in batches:
+        lot.append(b)
+        held += size(b)
+        if blocks < 2 or held >= LOT_CHARS:
+            yield lot
+            lot, held = [], 0
+    if lot:
+        yield lot
+
+
+def read_all(texts: list[list[str | None]], blocks: list, window: int) -> list[list[tuple[int, list, set]]]:
+    """Number of words, merged hits and items of each text, over all blocks."""
+    out = [[(0, [], set()) for _ in batch] for batch in texts]
+    if not blocks:
+        return [[(len(words_of(t)) if t else 0, [], set()) for t in batch] for batch in texts]
+    for block in blocks:
         automaton = _automaton(block, window)
-
-        def step(columns):
-            ids, texts, _, hits, items = columns
-            n_words, new_hits, new_items = [], [], []
-            for text, had, have in zip(texts, hits, items, strict=True):
-                words = words_of(text)
-                found, keys = automaton.read(words)
-                if had:
-                    found = merge(found, list(zip(had[::2], had[1::2], strict=True)))
-                n_words.append(len(words))
-                new_hits.append([x for span in found for x in span])
-                new_items.append(sorted(keys.union(have)))
-            return ids, texts, n_words, new_hits, new_items
-
-        return step
-
-    return start
+        for batch, rows in zip(texts, out, strict=True):
+            for k, text in enumerate(batch):
+                if text:
+                    words = words_of(text)
+                    hits, keys = automaton.read(words)
+                    rows[k] = (len(words), merge(rows[k][1], hits) if rows[k][1] else hits, rows[k][2] | keys)
+    return out
 
 
 _built: list = []
 
 
 def _automaton(block, window: int) -> Automaton:
-    """Built once a worker process; the last one is kept, with the block it stands for."""
+    """Kept in a worker process until another block is asked for."""
     if not _built or _built[0] is not block or _built[1] != window:
-        _built[:] = [block, window, Automaton(block.value, window)]
+        _built[:] = []
+        _built[:] = [block, window, Automaton(json.loads(block.value), window)]
     return _built[2]
 
 
@@ -269,42 +297,47 @@ def clean_text(text: str, hits: list[tuple[int, int]], limits: Limits = Limits()
 
     A span goes from its first word's first character to its last word's last.
     """
-    spans = [m.span() for m in WORD.finditer(ascii_lower(text))]
-    hits = [(s, e) for s, e in hits if e - s >= min(limits.span_words, len(spans))]
     if not hits:
         return text
+    spans = [m.span() for m in WORD.finditer(ascii_lower(text))]
     if sum(e - s for s, e in hits) >= limits.coverage * len(spans):
         return None
     out, at = [], 0
     for s, e in hits:
-        out.append(text[at : spans[s][0]])
-        at = spans[e - 1][1]
+        if e - s >= limits.span_words:
+            out.append(text[at : spans[s][0]])
+            at = spans[e - 1][1]
     return "".join([*out, text[at:]])
 
 
-def remove(df: DataFrame, items: DataFrame, text_col: str = "text", limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
+def remove(
+    df: DataFrame, items: DataFrame, text_col: str = "text", limits: Limits = Limits(), window: int = WINDOW, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """``df`` without what the limits exclude: spans are cut out of ``text_col``, covered rows go.
 
-    Rows with null texts stay; other columns stay as they are.
+    Both are decided on the hits of all items in the original text. Items of
+    fewer words than a span count towards coverage and are cut only as part of
+    a longer hit: alone in a long document they stay. Rows with null or empty
+    texts stay; other columns stay as they are.
     """
-    spark, out = df.sparkSession, df
+    spark = df.sparkSession
     bound_batches(spark)
-    for block in item_blocks(items, "item_id", "text"):
-        was = "_" * (1 + max(map(len, out.columns))) + "was"
-        cleaned = _cleaner(spark.sparkContext.broadcast(block), window, limits)
-        out = out.withColumn(was, F.col(text_col)).withColumn(text_col, cleaned(F.col(was)))
-        out = out.where(F.col(was).isNull() | F.col(text_col).isNotNull()).drop(was)
-    return out
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, "item_id", "text", window, block_words)]
+    if not blocks:
+        return df
 
-
-def _cleaner(block, window: int, limits: Limits):
     @pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        automaton = _automaton(block, window)
-        return texts.map(lambda t: t if t is None else clean_text(t, automaton.read(words_of(t))[0], limits))
+    def cleaned(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lot in _lots(series, lambda x: sum(len(t) for t in x if t), len(blocks)):
+            texts = [x.tolist() for x in lot]
+            for batch, rows in zip(texts, read_all(texts, blocks, window), strict=True):
+                yield pd.Series([t if t is None else clean_text(t, hits, limits) for t, (_, hits, _) in zip(batch, rows, strict=True)], dtype=object)
 
     # Evaluated once a row: the filter on its result isn't moved into a second evaluation.
-    return cleaned.asNondeterministic()
+    once = cleaned.asNondeterministic()
+    was = "_" * (1 + max(map(len, df.columns))) + "was"
+    out = df.withColumn(was, F.col(text_col)).withColumn(text_col, once(F.col(was)))
+    return out.where(F.col(was).isNull() | F.col(text_col).isNotNull()).drop(was)
 
 
 def query(spark, sf_dir):

@@ -3,9 +3,10 @@
 Three base patterns find secrets that are evident alone. Access identifiers,
 values that might be secrets and endpoints are weak alone: they are reported
 only where complementary parts lie in one scope. A scope is a run of
-characters around an access identifier, cut at blank lines; parts are joined
-to scopes by interval, with both sorted by start and a sweep over them, so a
-text with many parts costs no more than its parts and what it reports.
+characters around an access identifier, cut at blank lines; a part is in it if
+all of the part is. Scopes' starts and ends both grow along the text, so the
+interval join is a binary search a part: of the scopes that start at or before
+the part, the last reaches farthest.
 """
 
 from __future__ import annotations
@@ -51,48 +52,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def link_parts(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
     """The weak parts that are in one scope with a complementary part.
 
-    An identifier counts if a secret is in its scope; a secret value if an
-    identifier's scope holds it; an endpoint if its scope holds both.
+    An identifier counts if its scope holds a secret; a secret value if some
+    identifier's scope holds it; an endpoint if a scope holds it and a secret.
+    Base secrets are complementary parts too and aren't reported again.
     """
     ids = [m.span() for m in IDENTIFIER.finditer(text)]
     if not ids:
         return []
-    values = sorted({m.span() for m in VALUE.finditer(text)} | {(s, e) for s, kind, e in base if kind != 1})
-    values = [v for v in values if not any(v[0] < e and s < v[1] for s, e in _near(ids, v))]
-    ends = [m.span() for m in ENDPOINT.finditer(text)]
+    strong = {(s, e) for s, kind, e in base if kind != 1}
+    values = sorted({m.span() for m in VALUE.finditer(text)} | strong)
+    values = [v for v in values if not _overlaps(ids, v)]
     blanks = [m.start() for m in BLANK.finditer(text)]
-    starts, end_starts = [v[0] for v in values], [e[0] for e in ends]
-    strong = {(s, e) for s, kind, e in base}
-    found = set()
-    end_at = 0  # endpoints before this are in an earlier scope already
-    waiting, value_at = [], 0  # values begun in an earlier scope that ended past it; values before this were seen
+    scopes = []
     for s, e in ids:
         k = bisect_right(blanks, s)
-        low = max(s - reach, blanks[k - 1] if k else 0)
-        high = min(e + reach, blanks[k] if k < len(blanks) else len(text))
-        first, last = bisect_left(starts, low), bisect_right(starts, high)
-        if first == last:
-            continue
-        found.add((s, 3, e))
-        # A value that starts in a scope and ends past it waits for a later one that holds it whole.
-        straddling = []
-        for v in [*waiting, *values[max(first, value_at) : last]]:
-            if v[0] < low:
-                continue
-            if v[1] > high:
-                straddling.append(v)
-            elif v not in strong:
-                found.add((v[0], 4, v[1]))
-        waiting, value_at = straddling, max(value_at, last)
-        to = bisect_right(end_starts, high)
-        found.update((x, 5, y) for x, y in ends[max(bisect_left(end_starts, low), end_at) : to])
-        end_at = max(end_at, to)
-    return list(found)
-
-
-def _near(ids: list[tuple[int, int]], v: tuple[int, int]) -> list[tuple[int, int]]:
+        scopes.append((max(s - reach, blanks[k - 1] if k else 0), min(e + reach, blanks[k] if k < len(blanks) else len(text))))
+    found = [(s, 4, e) for s, e in values if (s, e) not in strong and _inside(scopes, s, e)]
+    # The earliest end of the values from each on: a scope holds a secret if the earliest from its start on ends in it.
+    starts, earliest = [v[0] for v in values], [len(text) + 1] * (len(values) + 1)
+    for k in range(len(values) - 1, -1, -1):
+        earliest[k] = min(values[k][1], earliest[k + 1])
+    whole = [k for k, (low, high) in enumerate(scopes) if earliest[bisect_left(starts, low)] <= high]
+    found += [(ids[k][0], 3, ids[k][1]) for k in whole]
+    held = [scopes[k] for k in whole]
+    return found + [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text) if _inside(held, *m.span())]
+
+
+def _inside(scopes: list[tuple[int, int]], start: int, end: int) -> bool:
+    """If one of the scopes, whose starts and ends both grow, holds [start, end)."""
+    k = bisect_right(scopes, start, key=lambda x: x[0])
+    return k > 0 and scopes[k - 1][1] >= end
+
+
+def _overlaps(ids: list[tuple[int, int]], v: tuple[int, int]) -> bool:
     k = bisect_left(ids, v)
-    return ids[max(0, k - 1) : k + 2]
+    return any(v[0] < e and s < v[1] for s, e in ids[max(0, k - 1) : k + 1])
 
 
 def scan_text(text: str, reach: int = REACH) -> tuple[list, list]:

@@ -69,8 +69,28 @@ def _clean() -> None:
     for spark, path in _written:
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended: the shared folder's owner cleans it
-            return
+        except Exception:  # noqa: BLE001  that session has ended: the shared folder's owner cleans it
+            continue
+
+
+#: Keys that ``attach`` may broadcast: those of at least one in so many rows, so there can be no more of them.
+HOT_KEYS = 200_000
+
+
+def attach(rows: DataFrame, few: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined, from the left, with the columns that ``few`` has for their key.
+
+    ``few`` has a row a key, with the number of ``rows`` of it in ``count``
+    (left out of the result); ``total`` is the number of all rows. Keys of
+    more than ``total / HOT_KEYS`` rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast, so that no task gets a hot key's rows; the
+    rest is shuffled.
+    """
+    least = total // HOT_KEYS + 64
+    hot = F.broadcast(few.where(F.col(count) > least).drop(count))
+    cold = few.where(F.col(count) <= least).drop(count)
+    often = rows.join(hot, key)
+    return often.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
 
 
 #: Rows and bytes of an Arrow batch of texts: what a Python worker holds at a time.

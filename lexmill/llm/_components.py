@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, discard, map_arrow
+from ._common import attach, cut, discard, map_arrow
 
 
 def _forest():
@@ -37,17 +37,17 @@ def _contract(links: DataFrame) -> DataFrame:
     return map_arrow(links, [F.col("a"), F.col("b")], "a bigint, b bigint", _forest)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours go to the smallest of it and its neighbours."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("int")).alias("n"))
+    return attach(both.where("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = attach(links, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -62,8 +62,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     left out. A batch of links is contracted where it lies, then two star
     operations alternate over all links until nothing changes (about the
     logarithm of the longest chain). Aggregation is partial before each
-    shuffle, joins are sort-merge joins that adaptive execution can split, and
-    every round is written to the shared folder.
+    shuffle, a hub's links are joined where they lie, and every round is written to the shared folder.
     """
     clean = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     now = cut(_contract(clean).distinct())
@@ -71,7 +70,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        new = cut(_contract(_small_star(_large_star(now))).distinct())
+        new = cut(_contract(_small_star(_large_star(now, mark[0]), mark[0])).distinct())
         discard(now)
         now, was, mark = new, mark, _print(new)
         if mark == was and not now.join(now.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").head(1):

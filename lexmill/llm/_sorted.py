@@ -2,8 +2,8 @@
 
 Rows of several orders are sorted by (order, key, id) over all partitions. A
 task compares each row with the next few in its partition, in vectorised
-blocks that overlap; rows at partition edges are compared in a second, small
-pass. The range partitioner splits runs of equal keys by id, so a large group
+blocks that overlap; rows at partition edges, through partitions shorter than a
+window too, are compared in a second, small pass. The range partitioner splits runs of equal keys by id, so a large group
 of copies spreads over tasks.
 """
 
@@ -35,14 +35,13 @@ def neighbour_pairs(rows: DataFrame, compare: Compare, window: int) -> DataFrame
     first = cut(ordered.mapInArrow(_scan(compare, window, edges=True), f"a bigint, b bigint, score float, last boolean, {ROWS}"))
     pairs = first.where("a is not null").select("a", "b", "score")
     edges = first.where("a is null")
-    parts = sorted(r.part for r in edges.select("part").distinct().collect())
-    if len(parts) > 1:
-        spark = rows.sparkSession
-        places = F.broadcast(spark.createDataFrame(list(zip(parts, range(len(parts)), strict=True)), "part int, place int"))
+    sizes = dict(edges.where("not last").groupBy("part").count().collect())  # of each partition, a window's rows at most
+    if len(sizes) > 1:
+        reach = sorted(_reach(sorted(sizes.items()), window))
+        borders = F.broadcast(rows.sparkSession.createDataFrame(reach, "part int, last boolean, border int"))
         at_edge = (
-            edges.join(places, "part")
-            .select((F.col("place") - F.when(F.col("last"), 0).otherwise(1)).cast("int").alias("part"), "tree", "key", "id", "sketch")
-            .where(f"part >= 0 and part < {len(parts) - 1}")
+            edges.join(borders, ["part", "last"])
+            .select(F.col("border").alias("part"), "tree", "key", "id", "sketch")
             .dropDuplicates(["part", "tree", "id", "key"])
             .repartition("part")
             .sortWithinPartitions("part", "tree", "key", "id")
@@ -51,6 +50,23 @@ def neighbour_pairs(rows: DataFrame, compare: Compare, window: int) -> DataFrame
     return pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def _reach(sizes: list[tuple[int, int]], window: int) -> set[tuple[int, bool, int]]:
+    """At which borders a partition's first or last rows stand: ``part, last, border``.
+
+    Border k lies behind the k-th partition. A window goes on through
+    partitions that have fewer rows than it.
+    """
+    out = set()
+    for k, (part, _) in enumerate(sizes):
+        for step, last in ((1, True), (-1, False)):
+            seen, at = 0, k
+            while 0 <= at + step < len(sizes) and seen < window:
+                out.add((part, last, at if last else at - 1))
+                at += step
+                seen += sizes[at][1]
+    return out
+
+
 def _scan(compare: Compare, window: int, edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, cut, discard, map_arrow, table, text_or_empty
+from ._common import attach, bound_batches, cut, discard, map_arrow, table, text_or_empty
 from ._components import components
 from ._sorted import neighbour_pairs
 
@@ -159,36 +159,44 @@ def compare_with(threshold: float):
     return compare
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough, from the texts of ``docs`` (doc_id, text)."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = cut(ids)
+def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, shingles`` (sorted 64-bit hashes) from the whole texts of ``docs`` with an id of ``ids``, written to the shared folder."""
+    wanted = cut(ids.distinct())
     few = wanted.count() <= BROADCAST_IDS
-    texts = cut(docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi"))
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    texts = docs.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi")
 
     def start():
         shingle = Shingler(words)
+        return lambda columns: [columns[0], [shingle(t).tobytes() for t in columns[1]]]
+
+    sets = cut(map_arrow(texts, [F.col("doc_id"), F.col("text")], "doc_id bigint, shingles binary", start).groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
+    discard(wanted)
+    return sets
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets are similar enough, from the texts of ``docs`` (doc_id, text)."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    sets = full_sets(ids, docs, words)
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
+    def start():
         def step(columns):
             a, b = [], []
-            last, last_set = None, None
             for x, y, s, t in zip(*columns, strict=True):
-                if y != last:
-                    last, last_set = y, shingle(t)
-                mine = shingle(s)
-                common = len(np.intersect1d(mine, last_set, assume_unique=True))
-                if len(mine) and 100 * common >= percent * (len(mine) + len(last_set) - common):
-                    a.append(x)
-                    b.append(y)
+                # A set that is too small for the other can't reach the threshold.
+                if len(s) and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                    common = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
+                    if 100 * common >= percent * ((len(s) + len(t)) // 8 - common):
+                        a.append(x)
+                        b.append(y)
             return a, b
 
         return step
 
-    links = cut(map_arrow(both, [F.col(c) for c in ("a", "b", "text_a", "text_b")], "a bigint, b bigint", start))
-    discard(texts)
-    discard(wanted)
+    links = cut(map_arrow(both, [F.col(c) for c in ("a", "b", "set_a", "set_b")], "a bigint, b bigint", start))
+    discard(sets)
     return links
 
 
@@ -298,14 +306,7 @@ def run_links(nodes: DataFrame, linked: DataFrame, docs: DataFrame, words: int,
     pairs = x.join(y, "run").where("x <= y and not coalesce(ox = oy, false)").select("run", "x", "y")
     tasks = pairs.select("run", "x", "y", F.col("x").alias("block")).union(pairs.where("x <> y").select("run", "x", "y", F.col("y").alias("block")))
 
-    def start():
-        shingle = Shingler(words)
-        return lambda columns: [columns[0], [shingle(t).tobytes() for t in columns[1]]]
-
-    wanted = cut(placed.select(F.col("id").alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.where("doc_id is not null").join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = cut(map_arrow(texts, [F.col("doc_id"), F.col("text")], "id bigint, shingles binary", start).dropDuplicates(["id"]))
+    sets = full_sets(placed.select(F.col("id").alias("doc_id")), docs, words).withColumnRenamed("doc_id", "id")
     full = sets.join(nodes.select(F.col("doc_id").alias("id"), "sketch"), "id")
     spread = (
         placed.select("run", "block", "id", "comp").join(tasks, ["run", "block"]).join(full, "id")
@@ -333,7 +334,7 @@ def run_links(nodes: DataFrame, linked: DataFrame, docs: DataFrame, words: int,
             yield done()
 
     links = cut(spread.mapInArrow(compare, "a bigint, b bigint").distinct())
-    for done in (split, placed, blocks, wanted, sets):
+    for done in (split, placed, blocks, sets):
         discard(done)
     return links
 
@@ -350,7 +351,7 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     signed = cut(signatures(docs, words))
     known = signed.where("doc_id is not null and set_hash is not null")
-    heads = cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("head")))
+    heads = cut(known.groupBy("set_hash").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
     nodes = known.join(heads.select("set_hash", F.col("head").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
     rows = nodes.select(
         F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig", F.col("doc_id").alias("id"), "sketch"
@@ -374,10 +375,10 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     if third.head(1):
         linked = components(first.union(second).union(third))
     member = heads.join(linked.select(F.col("id").alias("head"), "component"), "head", "left").select(
-        "set_hash", F.coalesce("component", "head").alias("component")
+        "set_hash", "n", F.coalesce("component", "head").alias("component")
     )
     own = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
-    out = own.join(member, "set_hash", "left").select(
+    out = attach(own, member, "set_hash", "n", signed.count()).select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -386,11 +387,23 @@ def classes(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
 def keep_heads(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies: that of its smallest id; all columns stay as they are.
 
-    Of rows that repeat an id, one stays. Rows with a null id stay.
+    Of rows that repeat an id, the one whose text is first in order stays (of
+    equal texts, that with the smallest hash of its other columns). Rows with a
+    null id stay. Texts of ids that don't repeat aren't shuffled unless more
+    than ``BROADCAST_IDS`` documents go.
     """
-    gone = classes(df, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    single = df.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(df.where(F.col(id_col).isNull()))
-    return single.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    found = cut(classes(df, words, percent, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")))
+    wide = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    name = "_" * (1 + max(map(len, df.columns))) + "id"
+    match = F.col(f"`{id_col}`").cast("bigint") == F.col(name)
+    left = df.join(wide(found.where("not kept").select(F.col("doc_id").alias(name))), match, "left_anti")
+    often = found.where("kept and rows > 1").select(F.col("doc_id").alias(name))
+    if not often.head(1):
+        return left
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    order = F.struct(F.col(text_col).isNull(), F.col(text_col), F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
+    repeated = left.join(wide(often), match, "left_semi").groupBy(F.col(id_col).alias(name)).agg(F.min_by(F.struct("*"), order).alias("row"))
+    return left.join(wide(often), match, "left_anti").unionByName(repeated.select("row.*"))
 
 
 def query(spark, sf_dir):

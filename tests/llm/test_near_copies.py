@@ -127,6 +127,7 @@ def test_vectors_against_brute_force(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000 + k, v, 1) for k, v in enumerate(bad)] + [(2000, [1.0, 0.0], 1), (2001, [2.0, 0.0], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, head int")
     got = {r.vec_id: r for r in embed_dedup.classes(df).collect()}
+    assert len(got) == len(rows)
     for i in range(len(x)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (degree[i], want[i], want[i] == i), i
     assert all(got[1000 + k].n_links == 0 and got[1000 + k].kept for k in range(len(bad)))
@@ -141,3 +142,82 @@ def test_blocks_count_as_one_group_does(spark):
     df = spark.createDataFrame(rows, "component bigint, id bigint, n bigint, v binary")
     count = lambda block: {r.id: r.others for r in embed_dedup.count_links(df, 0.9, block).collect()}
     assert count(8) == count(1000) and any(count(8).values())
+
+
+def test_repeated_vector_ids_count_for_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    got = embed_dedup.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+
+
+def brute_vectors(x, threshold=0.9):
+    """Number of links and smallest number reached, for each vector."""
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    label, (i, j) = np.arange(len(x)), np.nonzero(near)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        if (new == label).all():
+            return near.sum(1), label
+        label = new
+
+
+def test_ten_thousand_vectors_against_brute_force(spark):
+    rng = np.random.RandomState(21)
+    parts = [rng.standard_normal((5_000, 32))]
+    for size in (2, 3, 5, 40, 700, 1_500):
+        for _ in range(max(1, 300 // size)):
+            parts.append(rng.standard_normal(32) + rng.uniform(0.1, 0.3) * rng.standard_normal((size, 32)))
+    centre = np.eye(32)[0]
+    spokes = np.concatenate([np.full((1_200, 1), 0.905), rng.standard_normal((1_200, 31))], axis=1)
+    spokes[:, 1:] *= np.sqrt(1 - 0.905**2) / np.linalg.norm(spokes[:, 1:], axis=1)[:, None]
+    parts += [centre[None], spokes]
+    x = np.concatenate(parts)
+    x = x[rng.permutation(len(x))]
+    degree, label = brute_vectors(x)
+    got = embed_dedup.classes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    assert len(got) == len(x) > 8_000
+    wrong = sum((r.n_links, r.component_id) != (degree[r.vec_id], label[r.vec_id]) for r in got)
+    assert wrong <= 0.01 * len(x), wrong
+
+
+def test_windows_go_on_through_short_partitions():
+    from lexmill.llm._sorted import _reach
+
+    sizes = [(0, 4), (2, 1), (3, 1), (5, 4), (9, 4)]
+    got = _reach(sizes, 4)
+    assert {b for p, last, b in got if p == 0 and last} == {0, 1, 2} and {b for p, last, b in got if p == 5 and not last} == {2, 1, 0}
+    assert {b for p, last, b in got if p == 9 and not last} == {3} and {b for p, last, b in got if p == 2 and last} == {1, 2}
+
+
+def test_sorted_orders_compare_every_window(spark):
+    from lexmill.llm import _sorted
+
+    def compare(keys, sketches, group):
+        n, i, j = len(keys), [], []
+        for lag in range(1, min(4, n - 1) + 1):
+            k = np.nonzero(group[lag:] == group[:-lag])[0]
+            i.append(k)
+            j.append(k + lag)
+        return np.concatenate(i), np.concatenate(j), np.zeros(sum(map(len, i)))
+
+    rows = [(0, bytearray(k.to_bytes(2, "big")), k, bytearray(b"x")) for k in range(30)]
+    df = spark.createDataFrame(rows, "tree int, key binary, id bigint, sketch binary")
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.a, r.b) for r in _sorted.neighbour_pairs(df, compare, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.enabled", was[1])
+    assert got == {(a, b) for a in range(30) for b in range(a + 1, min(30, a + 5))}
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    rows = [(1, "b c d e f g", "x"), (1, "a b c d e f", "y"), (2, "q r s t u v w", "z"), (2, "q r s t u v w", "z"), (None, "n", "n"), (None, "n", "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _gone string")
+    got = sorted(map(tuple, minhash_dedup.keep_heads(df).collect()), key=str)
+    assert got == sorted([(1, "a b c d e f", "y"), (2, "q r s t u v w", "z"), (None, "n", "n"), (None, "n", "n")], key=str)

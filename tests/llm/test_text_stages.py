@@ -348,7 +348,7 @@ def test_long_disguises_read_as_plain_ones():
         assert toxicity.restore(".".join(plain), model) == plain
         assert toxicity.restore(".".join(plain).replace("i", "1").replace("o", "0"), model) == plain
     score = toxicity.Model(model, {"idiot": 0.9, "moron": 0.9, "^stup": 0.9}).scorer()
-    toxic = ["s.t.u.p.i.d.i.d.i.o.t.f.o.o.l", "i.d.i.o.o.o.o.o.o.o.o.o.o.o.o.o.o.t", "tree_1d10t_tree", "about/m0r0n", "!d!ot", "x " * 5 + "i\td  i\n o t", "1d!0t", "(m0r0n)", "-".join("moron") + ","]
+    toxic = ["s.t.u.p.i.d.i.d.i.o.t.f.o.o.l", "i.d.i.o.o.o.o.o.o.o.o.o.o.o.o.o.o.t", "tree_1d10t_tree", "about/m0r0n", "!d!ot", "such i\td  i\n o t now", "1d!0t", "(m0r0n)", "-".join("moron") + ","]
     for text in toxic:
         assert score(text) >= 0.8, text
     assert score("tree about 2024 10:30 a b c list-tree tree!") == 0

@@ -84,35 +84,47 @@ def format_pairs(pairs: DataFrame, id_col: str = "pair_id", chosen: str = "chose
 
 
 def query(spark, sf_dir):
-    """Every conversation that ends in an assistant's turn, against itself with that turn replaced by its first assistant turn."""
-    whole = conversations(table(spark, sf_dir, "conversations")).where("element_at(turns, -1).role = 'assistant'")
+    """Every conversation, against itself with its last assistant turn replaced by the first one's text and nothing after it.
+
+    The rejected side is shorter where turns follow the last assistant turn. A
+    conversation without an assistant turn differs in nothing and isn't informative.
+    """
+    whole = conversations(table(spark, sf_dir, "conversations"))
+    said = F.expr("filter(sequence(1, size(turns)), k -> turns[k - 1].role = 'assistant')")
     worse = F.expr(
-        "concat(slice(turns, 1, size(turns) - 1), array(named_struct('turn', element_at(turns, -1).turn, 'role', 'assistant', 'text',"
-        " filter(turns, t -> t.role = 'assistant')[0].text)))"
+        "case when size(said) = 0 then turns else concat(slice(turns, 1, array_max(said) - 1), array(named_struct("
+        "'turn', turns[array_max(said) - 1].turn, 'role', 'assistant', 'text', turns[said[0] - 1].text))) end"
     )
-    return format_pairs(whole.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), worse.alias("rejected")))
+    return format_pairs(whole.withColumn("said", said).select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), worse.alias("rejected")))
 
 
 SQL = f"""
 with t as (
   select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
 ), l as (
-  select *, max(p) over (partition by conv_id) as m, first_value(text) over (partition by conv_id order by case when role = 'assistant' then 0 else 1 end, p) as first_said
-  from (select *, row_number() over (partition by conv_id order by turn, role, text) as p from t)
-), e as (
-  select *, max(case when p = m then role end) over (partition by conv_id) as last_role,
-    max(case when p = m then text end) over (partition by conv_id) as last_text from l
-), k as (
-  select *, case when last_text = first_said then m else m - 1 end as n,
-    '{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10) as a,
-    '{OPEN}' || role || chr(10) || first_said || '{CLOSE}' || chr(10) as b from e where last_role = 'assistant'
+  select *, max(p) over c as m, max(case when role = 'assistant' then p end) over c as la, min(case when role = 'assistant' then p end) over c as fa
+  from (select *, row_number() over (partition by conv_id order by turn, role, text) as p from t) window c as (partition by conv_id)
+), w as (
+  select *, max(case when p = fa then text end) over c as said, max(case when p = la then text end) over c as last_said from l window c as (partition by conv_id)
+), n as (
+  select *, case when la is null then m when last_said = said then la else la - 1 end as n from w
+), sides as (
+  select conv_id, n, p, role, 'a' as side, text from n
+  union all
+  select conv_id, n, p, role, 'b', case when p = la then said else text end from n where p <= coalesce(la, m)
+), r as (
+  select *, '{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10) as turn_text from sides
+), o as (
+  select *, coalesce(sum(length(turn_text)) over (partition by conv_id, side, p > n order by p rows between unbounded preceding and 1 preceding), 0) + {len(OPEN) + 1} + length(role) as pos from r
+), g as (
+  select conv_id, max(n) as n, coalesce(string_agg(turn_text, '' order by p) filter (where side = 'a' and p <= n), '') as prompt,
+    coalesce(string_agg(turn_text, '' order by p) filter (where side = 'a' and p > n), '') as chosen_text,
+    coalesce(string_agg(pos || '-' || (pos + length(text) + {len(CLOSE)}), ',' order by p) filter (where side = 'a' and p > n and role = 'assistant'), '') as chosen_mask,
+    coalesce(string_agg(turn_text, '' order by p) filter (where side = 'b' and p > n), '') as rejected_text,
+    coalesce(string_agg(pos || '-' || (pos + length(text) + {len(CLOSE)}), ',' order by p) filter (where side = 'b' and p > n and role = 'assistant'), '') as rejected_mask
+  from o group by conv_id
 )
-select conv_id as pair_id, cast(max(n) as bigint) as n_common,
-  coalesce(string_agg(a, '' order by p) filter (where p <= n), '') as prompt,
-  coalesce(max(a) filter (where p = m and n < m), '') as chosen_text,
-  coalesce(max('{len(OPEN) + 10}-' || ({len(OPEN) + 10 + len(CLOSE)} + length(text))) filter (where p = m and n < m), '') as chosen_mask,
-  coalesce(max(b) filter (where p = m and n < m), '') as rejected_text,
-  coalesce(max('{len(OPEN) + 10}-' || ({len(OPEN) + 10 + len(CLOSE)} + length(first_said))) filter (where p = m and n < m), '') as rejected_mask,
-  max(n) < max(m) as informative
-from k group by conv_id
+select conv_id as pair_id, cast(n as bigint) as n_common, prompt, chosen_text, chosen_mask, rejected_text, rejected_mask,
+  chosen_mask <> '' and rejected_mask <> '' and chosen_text <> rejected_text as informative
+from g
 """

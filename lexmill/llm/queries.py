@@ -28,5 +28,6 @@ QUERIES = {
 
 SQL = {
     "op1_license_scan": license_scan.SQL,
+    "op4_sharding": sharding.SQL,
     "op5_chat_format": chat_format.SQL,
 }

@@ -91,3 +91,16 @@ SHARDS = [f"shard-{k:03d}" for k in range(64)]
 def query(spark, sf_dir):
     """Every document's shard of 64."""
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("doc_id", "slot", "shard_id")
+
+
+def _sql() -> str:
+    """The same placement: the first 60 bits of the MD5, and the table as two hexadecimal digits a slot."""
+    slots = "".join(f"{k:02x}" for k in build_table(SHARDS))
+    number = "cast('0x' || {} as bigint)"
+    return f"""
+with s as (select doc_id, {number.format("substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15)")} % {TABLE_SIZE} as slot from documents)
+select doc_id, slot, cast({number.format(f"substr('{slots}', cast(slot * 2 + 1 as integer), 2)")} as integer) as shard_id from s
+"""
+
+
+SQL = _sql()

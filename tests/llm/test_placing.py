@@ -125,3 +125,47 @@ def test_conversations_in_order(spark):
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.conversations(df).collect()}
     assert got == {1: [("user", "a"), ("assistant", "b")], 2: [("", "")]}
     assert chat_format.conversations(df.limit(0)).count() == 0
+
+
+def test_pairs_of_whole_conversations(spark, tmp_path):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "user", "r"), (1, 3, "assistant", "last"), (1, 4, "user", "bye"), (2, 0, "user", "alone"), (3, 0, "assistant", "a"), (3, 1, "user", "b"), (4, 0, "assistant", "x" * 300_000), (4, 1, "assistant", "y")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.pair_id: r for r in chat_format.query(spark, str(tmp_path)).collect()}
+    turn = lambda role, text: f"<|turn|>{role}\n{text}<|end|>\n"
+    assert got[1].n_common == 3 and got[1].chosen_text == turn("assistant", "last") + turn("user", "bye") and got[1].rejected_text == turn("assistant", "first") and got[1].informative
+    assert got[2].n_common == 1 and not got[2].informative and got[2].chosen_text == got[2].rejected_text == ""
+    assert got[3].n_common == 1 and got[3].chosen_text == turn("user", "b") and got[3].rejected_text == "" and not got[3].informative
+    assert got[4].n_common == 1 and got[4].rejected_text == turn("assistant", "x" * 300_000) and got[4].prompt == turn("assistant", "x" * 300_000)
+
+
+def test_slots_of_keys_by_definition(spark):
+    import hashlib
+
+    shards, size = [f"s{k}" for k in range(5)], 101
+    slots = sharding.build_table(shards, None, size)
+    df = spark.createDataFrame([(k, 1) for k in range(200)] + [(None, 1)], "doc_id bigint, slot int")
+    got = {(r.doc_id, r.slot, r.shard_id) for r in sharding.place(df, "doc_id", shards, size=size).collect()}
+    at = lambda k: int(hashlib.md5(("" if k is None else str(k)).encode()).hexdigest()[:15], 16) % size
+    assert got == {(k, at(k), slots[at(k)]) for k in [*range(200), None]}
+
+
+def test_dot_product_choice_against_brute_force():
+    limits = packing.Limits(tokens=100, segments=4, loss=60, open_bins=6)
+    checked = []
+
+    class Watched(packing.Packer):
+        def _put(self, b, piece, todo):
+            fit = [x for x in self.bins if x[0] + piece.length <= 100 and x[1] + piece.loss <= 60 and len(x[2]) < 4]
+            dot = lambda x: piece.length / 100 * (1 - x[0] / 100) + 1 / 4 * (1 - len(x[2]) / 4) + piece.loss / 60 * (1 - x[1] / 60)
+            if len(fit) > 1 and any(x is b for x in fit):
+                checked.append(dot(b) == pytest.approx(max(map(dot, fit))))
+            return super()._put(b, piece, todo)
+
+    rng, packer, done = random.Random(31), Watched(limits), []
+    for ref in range(600):
+        length = rng.randint(1, 40)
+        done += packer.add(ref, length, rng.randint(0, length))
+    done += packer.finish()
+    assert len(checked) > 100 and all(checked)
+    for pieces in done:
+        assert sum(p.length for p in pieces) <= 100 and sum(p.loss for p in pieces) <= 60 and len(pieces) <= 4

@@ -396,28 +396,54 @@ def test_toxicity_edges(spark):
 
 
 def brute_notices(text):
-    out = set()
-    units = dict(enumerate(text.split("\n")))
-    if len(units) > 1:
-        units[license_scan.WHOLE] = text
-    for unit, line in units.items():
-        mine, best = license_scan.bigrams(line), None
-        for name, template in sorted(license_scan.TEMPLATES.items()):
-            t = license_scan.bigrams(template)
-            dice = 2 * len(mine & t) / (len(mine) + len(t))
-            if dice >= license_scan.THRESHOLD and (best is None or dice > best[0]):
-                best = (dice, name)
-        if best:
-            out.add((unit, best[1], round(best[0], 6)))
-    return out
+    """Every span of words against every template, then the best one after the other."""
+    pairs, found = license_scan.word_pairs(text), []
+    for name, template in license_scan.TEMPLATES.items():
+        t = set(license_scan.word_pairs(template))
+        low, high = license_scan.bounds(len(t), license_scan.THRESHOLD)
+        for i in range(len(pairs)):
+            if pairs[i] in t:
+                for j in range(i + low, min(len(pairs), i + high) + 1):
+                    mine = set(pairs[i:j])
+                    if pairs[j - 1] not in t:
+                        continue
+                    dice = 2 * len(mine & t) / (len(mine) + len(t))
+                    if dice >= license_scan.THRESHOLD:
+                        found.append((-len(mine & t), -dice, i, -j, name))
+    out = []
+    for x in sorted(found):
+        if not any(x[2] <= -y[3] and y[2] <= -x[3] for y in out):
+            out.append(x)
+    return {(i, -j, name, round(-d, 6)) for _, d, i, j, name in out}
+
+
+def wrapped(rng, notice):
+    """A notice as a comment of short lines."""
+    words, lines = notice.split(), []
+    while words:
+        n = rng.randint(1, 9)
+        lines.append(" * " + " ".join(words[:n]))
+        words = words[n:]
+    return "\n".join(lines)
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(5)
+    code = "\n".join(f"int x{k} = {k};" for k in range(60))
+    names = ["Apache-2.0-header", "MIT-full", "GPL-3.0-header", "MPL-2.0", "BSD-2-Clause-full", "ISC"]
+    rows = [(k, f"/*\n{wrapped(rng, license_scan.TEMPLATES[n])}\n*/\n{code}") for k, n in enumerate(names)]
+    rows += [(10, "Released under the MIT License. See LICENSE for details."), (11, "Licensed under CC BY 4.0.\n" * 3), (12, "word " * 200_000 + license_scan.TEMPLATES["ISC"])]
+    got = sorted((r.doc_id, r.license, r.first_word) for r in license_scan.scan(docs(spark, rows)).collect())
+    assert got == [(k, n, 0) for k, n in enumerate(names)] + [(10, "MIT", 0), (11, "CC-BY-4.0", 0), (11, "CC-BY-4.0", 6), (11, "CC-BY-4.0", 12), (12, "ISC", 200_000)]
 
 
 def test_licences_against_brute_force(spark):
     rng = random.Random(4)
     notices = list(license_scan.TEMPLATES.values())
     rows = []
+    short = [x for x in notices if len(x) < 400]
     for i in range(60):
-        lines = [rng.choice(notices) if rng.random() < 0.5 else "some words of a line" for _ in range(rng.randint(1, 4))]
+        lines = [rng.choice(short) if rng.random() < 0.5 else "some words of a line" for _ in range(rng.randint(1, 4))]
         words = lines[0].split()
         if rng.random() < 0.5:
             words[rng.randrange(len(words))] = "changed"
@@ -425,7 +451,7 @@ def test_licences_against_brute_force(spark):
     rows += [(100, None), (101, ""), (102, notices[0]), (102, notices[0]), (None, notices[0]), (103, "word " * 50_000)]
     got: dict = {}
     for r in license_scan.scan(docs(spark, rows)).collect():
-        got.setdefault(r.doc_id, []).append((r.unit, r.license, r.dice))
+        got.setdefault(r.doc_id, []).append((r.first_word, r.last_word, r.license, r.dice))
     assert all(len(v) == len(set(v)) for v in got.values())
     for i, text in rows:
         if i is not None:

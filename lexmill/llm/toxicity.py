@@ -41,14 +41,12 @@ SEPARATORS = frozenset("._-*~'`^/\\ \t")
 #: Costs of the channel in nats: a look-alike, a dropped separator, a dropped symbol, a letter of a run kept once or twice.
 COST = {"lookalike": 0.7, "separator": 0.2, "symbol": 4.0, "once": 0.3, "twice": 0.6, "foreign": 9.0}
 WORD = re.compile(r"[^\W\d_]+")
-#: Three or more characters that stand alone, white space of any kind and length between them.
-SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 #: What is taken off a chunk's ends: symbols that stand for no letter.
 PLAIN_EDGE = ".,;:?\"'[]{}<>&%#-_~`^)"
 #: The same with symbols that may stand for one.
 ANY_EDGE = PLAIN_EDGE + "".join(c for c in LOOKALIKES if not c.isalnum())
 RUN = re.compile(r"([^\W\d_])\1\1+")
-MEMORY = 100_000
+MEMORY = 250_000
 #: Longer chunks are read anew each time.
 REMEMBERED = 64
 
@@ -164,6 +162,18 @@ def restore(piece: str, model: CharModel) -> str:
         return "".join(reversed(out))
 
     for may in [*lattice(piece), [(" ", 0.0)]]:
+        if len(may) == 1 and len(best) == 1:  # no choice: the cost is the same for all readings
+            ((state, cost),) = best.items()
+            x = may[0][0]
+            p, q = state
+            for c in x[-2:]:
+                p, q = q, kind(c)
+            best, step = {(p, q): cost}, {(p, q): (state, x)}
+            back.append(step)
+            if len(back) >= SETTLE:
+                settled.append(trace((p, q), back))
+                back = []
+            continue
         new: dict[tuple[int, int], float] = {}
         step: dict[tuple[int, int], tuple] = {}
         for state, cost in best.items():
@@ -228,18 +238,30 @@ class Reader:
         self.model, self.known = model, {}
 
     def words(self, chunk: str) -> list[str]:
+        if chunk.isalpha() and not RUN.search(chunk):
+            return [chunk]
         found = WORD.findall(chunk)
         for piece in pieces(chunk):
             found += WORD.findall(restore(piece, self.model))
         return found
 
-    def spaced(self, low: str) -> list[str]:
-        return [w for m in SPACED.finditer(low) for w in WORD.findall(restore(" ".join(m[0].split()), self.model))]
+    def spaced(self, chunks: list[str]) -> list[str]:
+        """Words of three or more characters that stand alone one after the other, with white space of any kind and length between."""
+        out, alone = [], [k for k, c in enumerate(chunks) if len(c) == 1]
+        at = 0
+        while at + 2 < len(alone):
+            end = at + 1
+            while end < len(alone) and alone[end] == alone[end - 1] + 1:
+                end += 1
+            if end - at >= 3:
+                out += WORD.findall(restore(" ".join(chunks[alone[at] : alone[end - 1] + 1]), self.model))
+            at = end
+        return out
 
     def features(self, text: str) -> set[str]:
-        low = text.lower()
-        out = features(self.spaced(low))
-        for chunk in set(low.split()):
+        chunks = text.lower().split()
+        out = features(self.spaced(chunks))
+        for chunk in set(chunks):
             if (f := self.known.get(chunk)) is None:
                 if len(self.known) > MEMORY // 8:
                     self.known.clear()
@@ -259,25 +281,29 @@ class Model:
 
     def scorer(self):
         reader, known, weights = Reader(self.chars), {}, self.weights
+        starts = {f[1:5] for f in weights if f[0] == "^"}
 
         def rest(words: list[str]) -> float:
+            words = [w for w in words if w in weights or w[:4] in starts]  # the others have no weight
+            if not words:
+                return 0.0
             most = max((weights.get(f, 0.0) for f in features(words)), default=0.0)
             return math.log1p(-min(most, 0.999))
 
         def score(text: str) -> float:
-            low = text.lower()
-            total = math.fsum(rest([w]) for w in reader.spaced(low))
-            chunks = set(low.split())
+            chunks = text.lower().split()
+            total = math.fsum(rest([w]) for w in reader.spaced(chunks))
+            different = set(chunks)
             try:
-                total += math.fsum(map(known.__getitem__, chunks))
+                total += math.fsum(map(known.__getitem__, different))
             except KeyError:
                 if len(known) > MEMORY:
                     known.clear()
                 long = {}
-                for c in chunks:
+                for c in different:
                     if c not in known:
                         (known if len(c) <= REMEMBERED else long)[c] = rest(reader.words(c))
-                total += math.fsum(long[c] if c in long else known[c] for c in chunks)
+                total += math.fsum(long[c] if c in long else known[c] for c in different)
             return 1.0 - math.exp(total) if total else 0.0
 
         return score

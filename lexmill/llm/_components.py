@@ -37,20 +37,36 @@ def _contract(links: DataFrame) -> DataFrame:
     return map_arrow(links, [F.col("a"), F.col("b")], "a bigint, b bigint", _forest)
 
 
-def _large_star(links: DataFrame, total: int) -> DataFrame:
+#: A node with more links than this, and than one in so many of all, is a hub: its links are joined where they lie.
+HUB, SHARE = 20_000, 200
+
+
+def _with_least(links: DataFrame, least: DataFrame, hub: bool, total: int) -> DataFrame:
+    return attach(links, least, "a", "n", 2 * total) if hub else links.join(least.drop("n"), "a")
+
+
+def _large_star(links: DataFrame, hub: bool, total: int) -> DataFrame:
     """Each node's larger neighbours go to the smallest of it and its neighbours."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("int")).alias("n"))
-    return attach(both.where("b > a"), least, "a", "n", total).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+    return _with_least(both.where("b > a"), least, hub, total).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame, total: int) -> DataFrame:
+def _small_star(links: DataFrame, hub: bool, total: int) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = attach(links, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(links, least, hub, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _has_hub(links: DataFrame, total: int) -> bool:
+    """If many links end in one node; asked only where there are enough links for one."""
+    if total <= HUB:
+        return False
+    most = links.groupBy("b").count().agg(F.max("count")).first()[0]
+    return most > max(HUB, total // SHARE)
+
+
 def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
@@ -70,7 +86,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        new = cut(_contract(_small_star(_large_star(now, mark[0]), mark[0])).distinct())
+        hub = _has_hub(now, mark[0])
+        new = cut(_contract(_small_star(_large_star(now, hub, mark[0]), hub, mark[0])).distinct())
         discard(now)
         now, was, mark = new, mark, _print(new)
         if mark == was and not now.join(now.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").head(1):

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import attach, cut, discard, map_arrow
+from ._common import attach, cut, discard
 
 
-def _forest():
-    """Contract the links of one batch: every node to the smallest it reaches there."""
+#: Links that a task contracts at a time.
+ONE_TASK = 200_000
 
-    def step(columns):
+
+def _contract(links: DataFrame) -> DataFrame:
+    """Contract the links of a task, up to ``ONE_TASK`` at a time: every node to the smallest it reaches there."""
+
+    def run(batches):
         up: dict[int, int] = {}
+        seen = 0
 
         def top(x):
             path = []
@@ -23,18 +29,24 @@ def _forest():
                 up[p] = x
             return x
 
-        for a, b in zip(*columns, strict=True):
-            a, b = top(a), top(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        return nodes, [top(x) for x in nodes]
+        def done():
+            nodes = list(up)
+            out = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["a", "b"])
+            up.clear()
+            return out
 
-    return step
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            seen += batch.num_rows
+            if seen >= ONE_TASK:
+                yield done()
+                seen = 0
+        yield done()
 
-
-def _contract(links: DataFrame) -> DataFrame:
-    return map_arrow(links, [F.col("a"), F.col("b")], "a bigint, b bigint", _forest)
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
 #: A node with more links than this, and than one in so many of all, is a hub: its links are joined where they lie.
@@ -71,18 +83,23 @@ def _print(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """``id, component`` for every node that a link ``a, b`` (bigint) joins to another: the smallest id it reaches.
 
     Links may repeat, in either order; nulls and links of a node to itself are
-    left out. A batch of links is contracted where it lies, then two star
-    operations alternate over all links until nothing changes (about the
-    logarithm of the longest chain). Aggregation is partial before each
-    shuffle, a hub's links are joined where they lie, and every round is written to the shared folder.
+    left out. Links are contracted where they lie; if no more than ``one_task``
+    are left then, one task settles them. Beyond, two star operations alternate
+    over all links until nothing changes (about the logarithm of the longest
+    chain). Aggregation is partial before each shuffle, a hub's links are joined
+    where they lie, and every round is written to the shared folder.
     """
     clean = links.where("a is not null and b is not null and a <> b").select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     now = cut(_contract(clean).distinct())
     mark = _print(now)
+    if 0 < mark[0] <= min(one_task, ONE_TASK):
+        whole = cut(_contract(now.coalesce(1)))
+        discard(now)
+        now, most_rounds = whole, 0
     for _ in range(most_rounds):
         if not mark[0]:
             break
@@ -93,5 +110,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if mark == was and not now.join(now.select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").head(1):
             break
     else:
-        raise RuntimeError(f"links didn't settle in {most_rounds} rounds")
+        if most_rounds:
+            raise RuntimeError(f"links didn't settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

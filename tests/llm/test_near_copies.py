@@ -30,9 +30,10 @@ def test_components(spark):
     rows = [*links, (7, 7), (None, 3), (3, None)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "a bigint, b bigint").repartition(7)
-    got = {r.id: r.component for r in components(df).collect()}
     real = [x for x in links if x[0] != x[1]]
-    assert got == joined({n for x in real for n in x}, real)
+    for one_task in (0, 200_000):
+        got = {r.id: r.component for r in components(df, one_task=one_task).collect()}
+        assert got == joined({n for x in real for n in x}, real)
     assert components(df.limit(0)).count() == 0
 
 

@@ -6,6 +6,7 @@ into a column. The word sets and patterns are fixed values.
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -131,6 +132,22 @@ RULES = {
         protect=False,
     ),
 }
+_KO_REACTION = "(?:[ㅋㅎ]+|[ㅠㅜ]+|ㅇㅇ|ㄴㄴ|ㄷㄷ|ㄱㄱ|ㅊㅋ|ㄱㅅ|ㅇㅋ|ㅇㄷ|ㅁㅊ|ㅉㅉ|ㅍㅌㅊ)"
+RULES |= {
+    "ko": Rules(
+        exact="ㄹㅇ ㅇㄱㄹㅇ ㅅㅂ ㅆㅂ ㅆ1발 시발 씨발 Tlqkf ㅈㄴ 존나 좆나 존1나 걍 한녀 한남 짱깨 조센징 조센 병신 병신들 새끼들 새끼 놈 중딩 초딩 고딩"
+        " 커엽 노잼 비추 존잘 개웃기네 킹치만 개 씹 좆 틀딱 갓본 년 노 누 긔 임 함 듯 듯요 이새끼",
+        kept="ㅋㅋ ㅋㅋㅋ ㅋㅋㅋㅋ ㅋ ㅎㅎ ㅎㅎㅎ ㅎ ㅠㅠ ㅠㅠㅠ ㅠ ㅜㅜ ㅜㅜㅜ ㅜ ㅇㅇ ㄴㄴ ㄷㄷ ㄱㄱ ㅊㅋ ㄱㅅ ㅇㅋ ㅇㄷ ㅁㅊ ㅉㅉ 흠 음 아 어 헐 ... … !! !? ? ~ ㅡㅡ ^^ ^_^",
+        patterns=(
+            "시발|씨발|ㅅㅂ|ㅆㅂ|존나|좆나|ㅈㄴ|병신|새끼|놈|년|틀딱|짱깨|조센|한녀|한남|개씹|개쩔|개꼴|노잼|존잘|커엽|킹치|ㅇㅈㄹ|이지랄|쌉가능|개소리",
+            rf"^(?!{_KO_REACTION}$)(?=.{{1,10}}$).*[ㄱ-ㅎㅏ-ㅣ]",
+            "(?=.*[가-힣ㄱ-ㅎㅏ-ㅣ])(?=.*[A-Za-z0-9])",
+            r"^(?:Tlqkf|tlqkf|qt|qk|wlsWk|Rk|rk|Rkwl|qkqh|whs나|[A-Za-z0-9^]+ㅣ발)$",
+            rf"^(?!{_KO_REACTION}$).*([가-힣ㄱ-ㅎㅏ-ㅣ])\1{{2,}}",
+            "^(?=.{3,}$).*(?:용|여|당|넹|구용|구여|군용|군여|나용|나여|네용|네여|세용|세여|합니당|입니당|답니당|랍니당)$",
+        ),
+    ),
+}
 _SLAVIC = Rules(
     kept="lol LOL haha hahaha hehe ahah xD XD",
     patterns=(REPEATED, r"^[A-Za-zÀ-ž]+['’]$", r"^(?=.{2,14}$)(?=.*(?:[cszCSZ]|dj|DJ|Dj))[A-Za-zÀ-ž][A-Za-zÀ-ž'’.-]*$"),
@@ -160,6 +177,23 @@ JA_CLOSERS = ["", "。", "！", "!", "?", "？", "…", "〜", "～"]
 TH_BEFORE_PROTECTED = "ชั้น"
 
 
+def _compatible() -> str:
+    """A character class of what compatibility normalisation changes, as ranges, from the Unicode data itself."""
+    out, start, last = [], None, -2
+    for k in [*(k for k in range(0x80, 0x10000) if unicodedata.normalize("NFKC", chr(k)) != chr(k) and not 0xD800 <= k < 0xE000), 0x10FFFF]:
+        if k != last + 1:
+            if start is not None:
+                out.append(rf"\x{{{start:X}}}-\x{{{last:X}}}")
+            start = k
+        last = k
+    return "[" + "".join(out) + "]"
+
+
+#: A token in Japanese script whose width or form compatibility normalisation changes.
+JA_WIDTH = r"^(?=.*[ぁ-んァ-ン一-龯々〆ヵヶ]).*(?:" + _compatible() + r"|[ぁ-んァ-ン][\x{3099}\x{309A}])"
+RULES["ja"] = replace(RULES["ja"], patterns=(*RULES["ja"].patterns, JA_WIDTH))
+
+
 def is_final(raw: str = "raw", at: str = "tok_idx") -> Column:
     """If only closing marks follow a position of a sentence's array."""
     rest = F.slice(F.col(raw), F.col(at) + 2, F.size(raw))

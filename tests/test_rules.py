@@ -54,7 +54,10 @@ def test_language_codes(spark):
         ("trde", ["schule", "cok"], ["kitap"]),
         ("vi", ["ko", "abc"], ["không", "đường"]),
         ("th", ["มากๆ", "คับ"], ["555", "ครับ"]),
-        ("ja", ["てる", "カワいい", "すごーーい"], ["て", "犬", "www"]),
+        ("ja", ["てる", "カワいい", "すごーーい", "①番", "㌔です", "か\u3099くせい"], ["て", "犬", "www", "①", "番"]),
+        ("ko", ["ㄹㅇ", "존나", "ㅆ1발", "먹었당", "ㄱㅊ", "와아아아", "tlqkf", "개쩔어", "A급이다"], ["ㅋㅋㅋㅋㅋㅋ", "ㅇㅇ", "사람", "야당", "#태그", "...", ""]),
+        ("hr", ["šta", "kaj", "sreca", "joooj"], ["dobro", "lol", "XD"]),
+        ("sr", ["sto", "kaze", "radis’"], ["dobro", "haha"]),
         ("fr", [], ["u", "cok", "sooo"]),
     ],
 )

@@ -5,6 +5,7 @@ The defaults are fixed functions, so plans can be tested without any model.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -38,10 +39,10 @@ def noise_scores(sentences: DataFrame, scorer: Callable[[], Scorer] = fixed_scor
     return sentences.where("row_id is not null and raw is not null").select("row_id", "raw").mapInPandas(run, "row_id bigint, tok_idx int, p double")
 
 
-def correct(prompts: DataFrame, client: Callable[[], Client], workers: int = 2, retries: int = 3) -> DataFrame:
+def correct(prompts: DataFrame, client: Callable[[], Client], workers: int = 2, retries: int = 3, wait: float = 0.2) -> DataFrame:
     """Answers of ``row_id, tok_idx, token, prompt``: ``raw_response``, ``normalized`` (null unless a string) and ``error``.
 
-    A call that keeps failing gives a row with its error, and such rows count as done when a run is resumed.
+    The wait before another try doubles each time. A call that keeps failing gives a row with its error, and such rows count as done when a run is resumed.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +50,9 @@ def correct(prompts: DataFrame, client: Callable[[], Client], workers: int = 2,
 
         def one(prompt: str):
             error = None
-            for _ in range(max(1, retries)):
+            for k in range(max(1, retries)):
+                if k:
+                    time.sleep(wait * 2 ** (k - 1))
                 try:
                     answer = ask(prompt)
                 except Exception as e:  # noqa: BLE001  a client's failures are recorded with the row

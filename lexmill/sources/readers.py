@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREDICTION_KEYS = ["pred", "prediction", "predictions", "norm", "normalized"]
@@ -45,15 +47,34 @@ def parse_tokens(c: Column) -> Column:
     return F.when(F.trim(c).startswith("["), F.coalesce(listed, F.split(F.trim(c), r"\s+"))).otherwise(F.split(F.trim(c), r"\s+"))
 
 
+#: Objects within objects that are looked into for a prediction field.
+LEVELS = 8
+
+
+def _unwrapped(value: Column) -> Column:
+    """A JSON value, or what its first prediction field holds, down to what is no object."""
+    held = lambda v: F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in PREDICTION_KEYS])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), value, lambda v, _: F.when(F.ltrim(v).startswith("{"), held(v)).otherwise(v))
+
+
 def _keyed(value: Column) -> Column:
-    """The tokens of a JSON value: a list, or the first prediction field of an object."""
-    fields = [F.from_json(F.get_json_object(value, f"$.{k}"), TOKENS) for k in PREDICTION_KEYS]
-    return F.coalesce(F.from_json(value, TOKENS), *fields)
+    """The tokens of a JSON value: a list, or the first prediction field of an object, however deep."""
+    return F.from_json(_unwrapped(value), TOKENS)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Rows in file order with their number; one small file, so one window is fine for order, the parsing isn't in it."""
-    return df.withColumn("row_id", F.row_number().over(Window.orderBy("at")) - 1).drop("at")
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows with ``row_id``, their place in the order in which they are read.
+
+    Two passes without a shuffle: a count a partition (all that the driver
+    sees), then each partition's start added to the place within it.
+    """
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    sizes = at.groupBy(F.shiftright("_at", 33).cast("int").alias("part")).count().collect()
+    parts = sorted((r["part"], r["count"]) for r in sizes)
+    starts = [0, *accumulate(n for _, n in parts)]
+    known = df.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(parts, starts, strict=False)], "_part int, _start bigint")
+    placed = at.withColumn("_part", F.shiftright("_at", 33).cast("int")).join(F.broadcast(known), "_part")
+    return placed.select((F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("row_id"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -61,32 +82,32 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "json":
         text = spark.read.text(path, wholetext=True).select("value")
-        held = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in PREDICTION_KEYS], F.col("value"))
-        items = text.select(F.posexplode(F.from_json(held, "array<string>")).alias("row_id", "item"))
+        items = text.select(F.posexplode(F.from_json(_unwrapped(F.col("value")), "array<string>")).alias("row_id", "item"))
         return items.select("row_id", _keyed(F.col("item")).alias("pred"))
-    at = F.monotonically_increasing_id()
     if kind == "jsonl":
-        lines = spark.read.text(path).select(at.alias("at"), "value").where("trim(value) <> ''")
-        return _numbered(lines.select("at", _keyed(F.col("value")).alias("pred")))
+        lines = spark.read.text(path).where("trim(value) <> ''")
+        return numbered(lines).select("row_id", _keyed(F.col("value")).alias("pred"))
     if kind in ("tsv", "txt"):
-        lines = spark.read.text(path).select(at.alias("at"), F.split("value", "\t", -1).alias("pred"))
+        lines = spark.read.text(path).select(F.split("value", "\t", -1).alias("pred"))
         quoted = F.transform("pred", lambda x: F.when(x.rlike('^".*"$'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
-        return _numbered(lines.select("at", quoted.alias("pred")))
+        return numbered(lines.select(quoted.alias("pred")))
     if kind == "csv":
         df = spark.read.csv(path, header=True, multiLine=True, escape='"')
         column = next((k for k in PREDICTION_KEYS if k in df.columns), None)
         if not column:
             raise SchemaError(f"{path} has none of {PREDICTION_KEYS}")
-        return _numbered(df.select(at.alias("at"), F.from_json(column, TOKENS).alias("pred")))
+        return numbered(df).select("row_id", F.from_json(column, TOKENS).alias("pred"))
     raise SchemaError(f"no reader for {path}")
 
 
 ENTRY = "map<string,struct<top_norm:string,top_count:bigint,raw_total:bigint,changed_total:bigint,changed_confidence:double,raw_confidence:double,candidates:map<string,bigint>>>"
-SECTIONS = {"high": "high_confidence_pairs", "balanced": "balanced_pairs_for_analysis", "review": "review_pairs", "ambiguous": "ambiguous_pairs", "seed": "paper_seed_pairs"}
+SECTIONS = {"high": "high_confidence_pairs", "balanced": "balanced_pairs_for_analysis", "review": "review_pairs", "ambiguous": "ambiguous_pairs", "context": "context_sensitive_pairs", "seed": "paper_seed_pairs"}
 
 
 def dictionary(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """``lang, section, raw, norm, count, raw_total, context_sensitive`` from a dictionary file.
+    """``lang, section, raw, norm, count, raw_total, context_sensitive, flagged`` from a dictionary file.
+
+    ``flagged`` tells if the entry itself says that it depends on context.
 
     A section's entries map a raw form to its norm, or to an object with its
     evidence; lists of objects and objects per language are read as well.
@@ -102,15 +123,16 @@ def dictionary(spark: SparkSession, path: str, lang: str | None = None) -> DataF
         plain = ~F.col("v").startswith("{")
         parts.append(
             rows.select(
-                "lang", F.lit(section).alias("section"), "raw", F.when(plain, F.col("v")).otherwise(field("top_norm", "norm")).alias("norm"),
+                "lang", F.lit(section).alias("section"), "raw", F.when(plain, F.col("v")).otherwise(field("norm", "normalized", "top_norm")).alias("norm"),
                 F.when(~plain, field("top_count", "count")).cast("bigint").alias("count"), F.when(~plain, field("raw_total")).cast("bigint").alias("raw_total"),
                 (F.array_contains("cs", F.col("raw")) | F.lit(section == "ambiguous")).alias("context_sensitive"),
+                F.coalesce(~plain & (field("context_sensitive", "ambiguous", "is_context_sensitive") == "true"), F.lit(False)).alias("flagged"),
             )
         )
     listed = F.from_json("value", "array<struct<raw:string,norm:string,count:bigint,context_sensitive:boolean>>")
     rows = base.where("ltrim(value) like '[%'").select("lang", F.explode(listed).alias("e"))
     parts.append(
-        rows.select("lang", F.lit("high").alias("section"), "e.raw", "e.norm", "e.count", F.lit(None).cast("bigint").alias("raw_total"), F.coalesce("e.context_sensitive", F.lit(False)).alias("context_sensitive"))
+        rows.select("lang", F.lit("high").alias("section"), "e.raw", "e.norm", "e.count", F.lit(None).cast("bigint").alias("raw_total"), F.coalesce("e.context_sensitive", F.lit(False)).alias("context_sensitive"), F.coalesce("e.context_sensitive", F.lit(False)).alias("flagged"))
     )
     out = parts[0]
     for p in parts[1:]:
@@ -125,3 +147,10 @@ def corrections(spark: SparkSession, path: str) -> DataFrame:
     """A correction log ``row_id, tok_idx, token, normalized, error, seq`` in its order."""
     log = spark.read.schema(CORRECTIONS).json(path)
     return log.select(F.col("dev_row_idx").alias("row_id"), "tok_idx", "token", "normalized", "error", F.monotonically_increasing_id().alias("seq"))
+
+
+def statistics(spark: SparkSession, path: str, langs: list[str] | None = None) -> DataFrame:
+    """Statistics as ``writers.statistics`` stores them; only the folders of ``langs`` are read if they are given."""
+    df = spark.read.parquet(path)
+    df = df.select(F.col("lang").cast("string").alias("lang"), *[c for c in df.columns if c != "lang"])
+    return df if langs is None else df.where(F.col("lang").isin(langs))

@@ -6,7 +6,7 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,10 @@ def predictions(df: DataFrame, path: str) -> None:
 
 
 def metrics_csv(frames: list[DataFrame], path: str) -> None:
-    """Metric tables under one another as CSV; columns in the order in which they first come, missing values empty."""
+    """Metric tables under one another as CSV; columns in the order in which they first come, missing values empty; no tables give an empty file."""
     if not frames:
-        raise ValueError("no tables")
+        SparkSession.active().createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     names = list(dict.fromkeys(c for f in frames for c in f.columns))
     out = frames[0]
     for f in frames[1:]:
@@ -37,6 +38,11 @@ def metrics_csv(frames: list[DataFrame], path: str) -> None:
     out.select(*names).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def metrics_json(df: DataFrame, path: str) -> None:
+    """Metric rows as JSON lines, null fields kept."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def submission_zip(df: DataFrame, path: str) -> int:
     """A zip with ``predictions.json``, written on the driver row by row; the number of sentences."""
     blank = F.transform("raw", lambda x: F.lit(""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mean_of_rounded, ratio, reduce_runs, expand_repetition, lang_code, strong_protect, weak_protect
-from ..operators import candidates, cascade, evaluate, fewshot, ngram, profile, prompts, replace, tokens
+from ..operators import candidates, cascade, evaluate, fewshot, hints, labels, ngram, profile, prompts, replace, tokens
 from . import sql
 
 QUERIES: dict = {}
@@ -583,3 +583,36 @@ def _fewshot(positive: bool):
 
 query("q38_fewshot_positive")(_fewshot(True))
 query("q39_fewshot_negative")(_fewshot(False))
+
+
+@query("q48_pairs_and_hints", f"""with {_APPLY_CP}, e as (select lang, raw, norm as cn, high and n_norms = 1 as sure,
+  case when high then 'high_confidence_context_sensitive' when balanced then 'context_sensitive_pairs' when n_norms > 1 then 'ambiguous_pairs' else 'review_pairs' end as src from cl),
+v as (select tok.lang, tok.raw, tok.norm, case when sure and not {sql.strong('tok.raw')} then cn else tok.raw end as p, case when not sure then src end as hint_source from tok left join e using (lang, raw) where val)
+select lang, hint_source, count(*) as tokens, count(*) filter (where p <> raw) as changed, count(*) filter (where p = norm) as correct from v group by all""")
+def pairs_and_hints(spark, sf_dir):
+    train, val = halves(spark, sf_dir)
+    section = F.when(F.col("class") == "balanced", "context").otherwise(F.col("class"))
+    entries = profile.classes(train).select("lang", "raw", "norm", "count", "raw_total", section.alias("section"), (F.col("n_norms") > 1).alias("flagged"))
+    made = hints.apply_pairs(ngram.with_protection(val), hints.pairs(entries), F.col("protected"))
+    shown = made.join(hints.hints(entries), ["lang", "raw"], "left").withColumn("hint_source", F.get("hints", F.lit(0)).source)
+    return shown.groupBy("lang", "hint_source").agg(
+        F.count("*").alias("tokens"), F.count_if(F.col("changed")).alias("changed"), F.count_if(F.col("pred") == F.col("norm")).alias("correct")
+    )
+
+
+@query("q49_training_labels", f"""with {sql.TOK}, n as (select lang, count(*) as rows_, cast(sum(2 * len(toks) + 2) as bigint) as pieces, cast(sum(len(toks) + 2) as bigint) as ignored from sent group by lang),
+c as (select lang, count(*) filter (where raw <> norm) as ones from tok group by lang)
+select n.*, coalesce(ones, 0) as ones from n left join c on n.lang is not distinct from c.lang""")
+def training_labels(spark, sf_dir):
+    none = F.array(F.lit(None).cast("int"))
+    twice = F.flatten(F.transform("raw", lambda _, i: F.array(i, i)))  # a stand-in tokenizer: two pieces a word, one before and after the sentence
+    rows = corpus(spark, sf_dir).select("lang", labels.changed_labels().alias("labels"), F.concat(none, twice, none).alias("word_ids"))
+    made = rows.select("lang", labels.piece_labels().alias("p"))
+    held = lambda value: F.sum(F.size(F.filter("p", lambda x: x == value)))
+    return made.groupBy("lang").agg(F.count("*").alias("rows_"), F.sum(F.size("p")).alias("pieces"), held(labels.IGNORED).alias("ignored"), held(1).alias("ones"))
+
+
+@query("q50_report_rows", f"{_EVAL} select 'documents' as dataset_name, 'mfr' as model_name, *, detection_precision as precision, detection_recall as recall, detection_f1 as f1 from scored where lang <> '__overall__'")
+def report_rows(spark, sf_dir):
+    measured = evaluate.with_short_names(evaluate.by_language(mfr_scored(spark, sf_dir)))
+    return evaluate.language_rows(measured, "documents", "mfr")

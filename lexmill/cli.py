@@ -42,8 +42,8 @@ def _views(official: str | None, missing: str | None) -> dict[str, list[str]]:
 
 def stats(spark: SparkSession, a) -> None:
     """Profiles of a data set, by language and over all; with training data, its dictionary's coverage."""
-    rows = tokens.explode(tokens.align(_sentences(spark, a.gold), "skip"))
-    by_lang = profile.by_language(rows)
+    sentences = _sentences(spark, a.gold).where("size(raw) = size(norm)")
+    rows, by_lang = tokens.explode(sentences), profile.by_language(sentences)
     named = lambda df: df.select(F.lit(a.dataset_name).alias("dataset_name"), *df.columns)
     writers.metrics_csv([named(by_lang)], f"{a.out}/languages")
     writers.metrics_json(named(profile.overall(by_lang)), f"{a.out}/overall")

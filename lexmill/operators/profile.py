@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mean_of_rounded, ratio, safe_div
+from .tokens import explode
 
 
 def _count(rule: Column) -> Column:
     return F.sum(F.when(rule, 1).otherwise(0)).cast("bigint")
 
 
-def by_language(tokens: DataFrame) -> DataFrame:
-    """Sizes and shares of each language's tokens."""
+def by_language(sentences: DataFrame) -> DataFrame:
+    """Sizes and shares of each language's sentences ``row_id, lang, raw, norm``, whose arrays are aligned.
+
+    Sentences without tokens count as sentences; a language that has no others
+    has no tokens and a share of 0.
+    """
+    sized = sentences.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("num_samples"), F.max(F.size("raw")).cast("bigint").alias("max_sentence_len"))
     changed = F.col("raw") != F.col("norm")
-    made = tokens.groupBy("lang").agg(
-        F.count_distinct("row_id").alias("num_samples"),
+    counted = explode(sentences).groupBy("lang").agg(
         F.count("*").alias("total_tokens"),
-        F.max("n_tok").cast("bigint").alias("max_sentence_len"),
         _count(changed).alias("changed_tokens"),
         F.count_distinct("raw").alias("raw_vocab_size"),
         F.count_distinct("norm").alias("norm_vocab_size"),
@@ -26,6 +30,8 @@ def by_language(tokens: DataFrame) -> DataFrame:
         _count(changed & F.col("norm").contains(" ")).alias("norm_contains_space_tokens"),
         _count(changed & F.col("raw").contains(" ")).alias("raw_contains_space_tokens"),
     )
+    both = sized.join(counted, F.col("l").eqNullSafe(F.col("lang")), "left")
+    made = both.select(F.col("l").alias("lang"), "num_samples", "max_sentence_len", *[F.coalesce(c, F.lit(0)).alias(c) for c in counted.columns if c != "lang"])
     total = F.col("total_tokens")
     return made.select(
         "*",

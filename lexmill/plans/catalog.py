@@ -268,17 +268,20 @@ def hard_case_categories(spark, sf_dir):
     return hard_cases(spark, sf_dir).groupBy("lang", "cat").agg(F.count("*").alias("c"))
 
 
-_DS = f"""{sql.TOK}, ds as (select lang, count(distinct row_id) as num_samples, count(*) as total_tokens, max(n_tok) as max_sentence_len, count(*) filter (where raw <> norm) as changed_tokens,
+_DS = f"""{sql.TOK}, sn as (select lang as l, count(*) as num_samples, max(len(toks)) as max_sentence_len from sent group by lang),
+tk as (select lang, count(*) as total_tokens, count(*) filter (where raw <> norm) as changed_tokens,
   count(distinct raw) as raw_vocab_size, count(distinct norm) as norm_vocab_size, count(*) filter (where norm = '') as empty_norm_tokens,
   count(*) filter (where raw <> norm and contains(norm, ' ')) as norm_contains_space_tokens, count(*) filter (where raw <> norm and contains(raw, ' ')) as raw_contains_space_tokens from tok group by lang),
-dsr as (select *, round(total_tokens * 1.0::double / num_samples, 6) as avg_sentence_len, round(changed_tokens * 1.0::double / total_tokens, 6) as changed_ratio,
-  round(1 - changed_tokens * 1.0::double / total_tokens, 6) as lai_accuracy, round(empty_norm_tokens * 1.0::double / total_tokens, 6) as empty_norm_ratio,
-  round(norm_contains_space_tokens * 1.0::double / total_tokens, 6) as norm_contains_space_ratio from ds)"""
+ds as (select l as lang, num_samples, max_sentence_len, {", ".join(f"coalesce({c}, 0) as {c}" for c in ("total_tokens", "changed_tokens", "raw_vocab_size", "norm_vocab_size", "empty_norm_tokens", "norm_contains_space_tokens", "raw_contains_space_tokens"))}
+  from sn left join tk on sn.l is not distinct from tk.lang),
+dsr as (select *, round({sql.div("total_tokens", "num_samples")}, 6) as avg_sentence_len, round({sql.div("changed_tokens", "total_tokens")}, 6) as changed_ratio,
+  round(1 - {sql.div("changed_tokens", "total_tokens")}, 6) as lai_accuracy, round({sql.div("empty_norm_tokens", "total_tokens")}, 6) as empty_norm_ratio,
+  round({sql.div("norm_contains_space_tokens", "total_tokens")}, 6) as norm_contains_space_ratio from ds)"""
 
 
 @query("q26_dataset_stats", f"with {_DS} select * from dsr")
 def dataset_stats(spark, sf_dir):
-    return profile.by_language(token_rows(spark, sf_dir))
+    return profile.by_language(corpus(spark, sf_dir))
 
 
 @query("q27_coverage", f"""with {sql.MFR}, v as (select tok.lang, tok.raw, tok.norm, mfr.top_norm from tok left join mfr using (lang, raw) where val),
@@ -302,7 +305,7 @@ def coverage(spark, sf_dir):
 select * exclude (w), round(w / num_samples, 6) as avg_sentence_len, round(changed_tokens * 1.0::double / total_tokens, 6) as changed_ratio, round(1 - changed_tokens * 1.0::double / total_tokens, 6) as lai_accuracy,
   round(empty_norm_tokens * 1.0::double / total_tokens, 6) as empty_norm_ratio, round(norm_contains_space_tokens * 1.0::double / total_tokens, 6) as norm_contains_space_ratio from o""")
 def dataset_overall(spark, sf_dir):
-    return profile.overall(profile.by_language(token_rows(spark, sf_dir)))
+    return profile.overall(profile.by_language(corpus(spark, sf_dir)))
 
 
 _VIEW_ROWS = ", ".join(f"('{v}', '{lang}')" for v, langs in evaluate.VIEWS.items() for lang in langs)

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from lexmill import cli, config
-from lexmill.operators import evaluate, hints, labels, prompts
+from lexmill.operators import evaluate, hints, labels, profile, prompts
 from lexmill.sources import readers, writers
 from pyspark.sql import functions as F
 
@@ -147,3 +147,10 @@ def test_commands_that_report(spark, tmp_path, capsys):
     cli.main(["ablation", "--train", p("g.parquet"), "--input", p("g.parquet"), "--mode", "full", "--output", p("a")], spark)
     made = spark.read.csv(p("a"), header=True, inferSchema=True)
     assert made.count() == 44 and {r.err for r in made.collect()} == {1.0}
+
+
+def test_sentences_without_tokens_count(spark):
+    rows = [(1, ["a", "b"], ["a", "c"], "en"), (2, [], [], "en"), (3, [], [], "de"), (4, [], [], None)]
+    made = profile.by_language(spark.createDataFrame(rows, "row_id bigint, " + SENTENCE))
+    got = {r.lang: (r.num_samples, r.total_tokens, r.max_sentence_len, r.avg_sentence_len, r.changed_ratio, r.lai_accuracy) for r in made.collect()}
+    assert got == {"en": (2, 2, 2, 1.0, 0.5, 0.5), "de": (1, 0, 0, 0.0, 0.0, 1.0), None: (1, 0, 0, 0.0, 0.0, 1.0)}

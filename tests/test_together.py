@@ -51,3 +51,8 @@ def test_q15_one_shuffle(spark, tables, monkeypatch):  # noqa: F811
 
 def test_q16_one_shuffle(spark, tables, monkeypatch):  # noqa: F811
     check(spark, tables, monkeypatch, "q16_ngram_hits")
+
+
+@pytest.mark.parametrize("name", ["q23_cascade"])
+def test_predictions_one_shuffle(spark, tables, monkeypatch, name):  # noqa: F811
+    check(spark, tables, monkeypatch, name)

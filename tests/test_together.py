@@ -53,6 +53,6 @@ def test_q16_one_shuffle(spark, tables, monkeypatch):  # noqa: F811
     check(spark, tables, monkeypatch, "q16_ngram_hits")
 
 
-@pytest.mark.parametrize("name", ["q23_cascade", "q24_hard_cases"])
+@pytest.mark.parametrize("name", ["q23_cascade", "q24_hard_cases", "q25_hard_case_categories"])
 def test_predictions_one_shuffle(spark, tables, monkeypatch, name):  # noqa: F811
     check(spark, tables, monkeypatch, name)

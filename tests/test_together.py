@@ -56,3 +56,8 @@ def test_q16_one_shuffle(spark, tables, monkeypatch):  # noqa: F811
 @pytest.mark.parametrize("name", ["q23_cascade", "q24_hard_cases", "q25_hard_case_categories"])
 def test_predictions_one_shuffle(spark, tables, monkeypatch, name):  # noqa: F811
     check(spark, tables, monkeypatch, name)
+
+
+@pytest.mark.parametrize("name", ["q30_sweep_tri_only"])
+def test_sweep_reads_kept_kinds(spark, tables, monkeypatch, name):  # noqa: F811
+    check(spark, tables, monkeypatch, name, 0)

@@ -66,3 +66,13 @@ def test_sweep_reads_kept_kinds(spark, tables, monkeypatch, name):  # noqa: F811
 @pytest.mark.parametrize("name", ["q32_submission_summary"])
 def test_logs_read_kept_predictions(spark, tables, monkeypatch, name):  # noqa: F811
     check(spark, tables, monkeypatch, name, 0)
+
+
+def test_prompts_one_shuffle(spark, tables, monkeypatch):  # noqa: F811
+    """The same prompts at once and in parts; training sentences have none and aren't sent."""
+    at_once = catalog.QUERIES["q43_prompt_lengths"](spark, tables)
+    assert len(wide_exchanges(at_once)) == 1
+    want = plain(at_once.collect())
+    monkeypatch.setattr(catalog, "PART_FROM", 0)
+    assert plain(catalog.QUERIES["q43_prompt_lengths"](spark, tables).collect()) == want and want
+    assert {r.row_id % 5 for r in catalog.case_sentences(spark, tables).collect()} == {0}

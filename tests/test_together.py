@@ -63,7 +63,7 @@ def test_sweep_reads_kept_kinds(spark, tables, monkeypatch, name):  # noqa: F811
     check(spark, tables, monkeypatch, name, 0)
 
 
-@pytest.mark.parametrize("name", ["q32_submission_summary", "q45_overlay_policies", "q46_resume"])
+@pytest.mark.parametrize("name", ["q32_submission_summary", "q45_overlay_policies", "q46_resume", "q47_stale_corrections"])
 def test_logs_read_kept_predictions(spark, tables, monkeypatch, name):  # noqa: F811
     check(spark, tables, monkeypatch, name, 0)
 

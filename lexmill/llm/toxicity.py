@@ -102,8 +102,19 @@ class CharModel:
         return {"cost": self.cost, "_flat": None}
 
 
+class _Kinds(dict):
+    """The class of each character, kept once it was asked for."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = k = CLASS.get(c, OTHER if c.isalpha() else EDGE)
+        return k
+
+
+KINDS = _Kinds()
+
+
 def kind(c: str) -> int:
-    return CLASS.get(c, OTHER if c.isalpha() else EDGE)
+    return KINDS[c]
 
 
 def lattice(piece: str) -> list[list[tuple[str, float]]]:
@@ -146,11 +157,11 @@ SETTLE = 256
 def restore(piece: str, model: CharModel) -> str:
     """The likeliest reading of a piece, whatever its length.
 
-    States hold the last two letters; of equal readings the one from the
+    States hold the last two letters as one number; of equal readings the one from the
     smallest state, then symbol, is taken. Time is in proportion to the length.
     What all surviving readings share is settled on the way.
     """
-    best, price = {(EDGE, EDGE): 0.0}, model.costs()
+    best, price, kinds, square = {EDGE * CLASSES + EDGE: 0.0}, model.costs(), KINDS, CLASSES * CLASSES
     back: list[dict] = []
     settled: list[str] = []
 
@@ -165,26 +176,27 @@ def restore(piece: str, model: CharModel) -> str:
         if len(may) == 1 and len(best) == 1:  # no choice: the cost is the same for all readings
             ((state, cost),) = best.items()
             x = may[0][0]
-            p, q = state
-            for c in x[-2:]:
-                p, q = q, kind(c)
-            best, step = {(p, q): cost}, {(p, q): (state, x)}
-            back.append(step)
-            if len(back) >= SETTLE:
-                settled.append(trace((p, q), back))
+            if back:  # one reading is left: what led to it is settled
+                settled.append(trace(state, back))
                 back = []
+            settled.append(x)
+            for c in x[-2:]:
+                state = (state * CLASSES + kinds[c]) % square
+            best = {state: cost}
             continue
-        new: dict[tuple[int, int], float] = {}
-        step: dict[tuple[int, int], tuple] = {}
+        new: dict[int, float] = {}
+        step: dict[int, tuple[int, str]] = {}
+        options = [(x, extra, [kinds[c] for c in x]) for x, extra in may]
         for state, cost in best.items():
-            for x, extra in may:
-                (p, q), total = state, cost + extra
-                for c in x:
-                    k = kind(c)
-                    total += price[(p * CLASSES + q) * CLASSES + k]
-                    p, q = q, k
-                if (p, q) not in new or (total, state, x) < (new[p, q], *step[p, q]):
-                    new[p, q], step[p, q] = total, (state, x)
+            for x, extra, letters in options:
+                to, total = state, cost + extra
+                for k in letters:
+                    at = to * CLASSES + k
+                    total += price[at]
+                    to = at % square
+                known = new.get(to)
+                if known is None or total < known or (total == known and (state, x) < step[to]):
+                    new[to], step[to] = total, (state, x)
         best = new
         back.append(step)
         if len(back) >= SETTLE and len(back) % SETTLE == 0:
@@ -247,7 +259,10 @@ class Reader:
 
     def spaced(self, chunks: list[str]) -> list[str]:
         """Words of three or more characters that stand alone one after the other, with white space of any kind and length between."""
-        out, alone = [], [k for k, c in enumerate(chunks) if len(c) == 1]
+        sizes = list(map(len, chunks))
+        if sizes.count(1) < 3:
+            return []
+        out, alone = [], [k for k, n in enumerate(sizes) if n == 1]
         at = 0
         while at + 2 < len(alone):
             end = at + 1
@@ -294,16 +309,15 @@ class Model:
             chunks = text.lower().split()
             total = math.fsum(rest([w]) for w in reader.spaced(chunks))
             different = set(chunks)
-            try:
-                total += math.fsum(map(known.__getitem__, different))
-            except KeyError:
+            if new := different.difference(known):
                 if len(known) > MEMORY:
                     known.clear()
-                long = {}
-                for c in different:
-                    if c not in known:
-                        (known if len(c) <= REMEMBERED else long)[c] = rest(reader.words(c))
-                total += math.fsum(long[c] if c in long else known[c] for c in different)
+                    new = different
+                made = {c: rest(reader.words(c)) for c in new}
+                known.update((c, x) for c, x in made.items() if len(c) <= REMEMBERED)
+                total += math.fsum([*made.values(), *map(known.__getitem__, different.difference(made))])
+            else:
+                total += math.fsum(map(known.__getitem__, different))
             return 1.0 - math.exp(total) if total else 0.0
 
         return score

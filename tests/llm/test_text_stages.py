@@ -457,3 +457,21 @@ def test_licences_against_brute_force(spark):
         if i is not None:
             assert set(got.get(i, [])) == brute_notices(text or ""), (i, text)
     assert None not in got and license_scan.scan(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_op8_restoring_calls_nothing_per_reading():
+    """Characters' classes are looked up once a choice, not by a call for each state and reading: those calls took a third of op8's CPU."""
+    import sys
+
+    from lexmill.llm import toxicity
+
+    model, calls = toxicity.CharModel([]), [0]
+    piece = "1d!0t.s7up1d-" * 40
+    model.costs()
+    toxicity.restore(piece, model)
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        toxicity.restore(piece, model)
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < 4 * len(piece)
